@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
-def load(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+def load(spark: SparkSession, folder: str, name: str, *columns: str | Column) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
