@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions.keys import clean_name
+from ionloom.llm.clusters import clusters, describe_clusters
 from ionloom.llm.components import split_rows, unclear_entities
+from ionloom.llm.neighbours import most_similar, similar_pairs
 from ionloom.llm.overlap import cross_split_overlaps
 from ionloom.llm.quotes import quoted_items
 from ionloom.llm.tokenizer import bpe_ids
@@ -47,6 +49,35 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registry.query("""
+WITH v AS (
+  SELECT row_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM (SELECT DISTINCT row_id, embedding FROM spectrum_embeddings WHERE embedding IS NOT NULL)
+), u AS (SELECT row_id, e, sqrt(list_dot_product(e, e)) AS n FROM v), w AS (
+  SELECT a.row_id AS a, b.row_id AS b, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS s FROM u a JOIN u b ON a.row_id <> b.row_id AND a.n > 0 AND b.n > 0
+), r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM w WHERE s >= 0.8)
+SELECT DISTINCT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM r WHERE k <= 5 AND s >= 0.9""")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(load(spark, folder, "spectrum_embeddings"), "row_id", "embedding")
+
+
+@registry.query()
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar of every row whose id is divisible by 100, against all rows: the graph of every shard is asked."""
+    near = most_similar(load(spark, folder, "spectrum_embeddings"), "row_id", "embedding", asked=F.col("id") % 100 == 0, every_shard=True, beam=96)
+    return near.where("id % 100 = 0").select(F.col("id").alias("row_id"), "neighbour", F.round("sim", 4).alias("cosine"))
+
+
+@registry.query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(load(spark, folder, "spectrum_embeddings"), "row_id", "embedding").select(F.col("id").alias("row_id"), "cluster_key")
+
+
+@registry.query()
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cluster with its size and its three most typical rows."""
+    return describe_clusters(clusters(load(spark, folder, "spectrum_embeddings"), "row_id", "embedding"))
+
+
 @registry.query(f"""
 WITH told AS (
   SELECT trim(normalized_smiles) AS s, min({_CLEAN_KEY}) AS k
