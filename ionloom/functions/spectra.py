@@ -61,7 +61,7 @@ def peak_cosine(query: Column, other: Column, tolerance: float = 0.01) -> Column
         return F.coalesce(best["i"] * q.i, F.lit(0.0))
 
     total = F.aggregate(F.transform(query, matched), F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.least(F.lit(1.0), total), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(total, F.lit(0.0)))
 
 
 def coverage(p: Column, others: Column, tolerance: float = 0.01) -> Column:

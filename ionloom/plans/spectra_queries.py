@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ionloom.functions import metadata as M
 from ionloom.functions import spectra as S
+from ionloom.functions.chemistry import MONOISOTOPIC, formula_mass
+from ionloom.operators.model import predict
 from ionloom.plans.common import ADDUCT_VALUES, NEUTRAL, PEAKS, test_spectra, train, train_spectra
 from ionloom.plans.registry import Registry
 from ionloom.tables import load
 
 registry = Registry()
+#: Length of metadata_features.
+N_FEATURES = 3 + len(M.ENERGIES) + 1 + len(M.ADDUCTS) + 1
 
 _BASIC = "SELECT count(*) AS spectra, count(DISTINCT inchikey14) AS keys, count(DISTINCT normalized_smiles) AS smiles, count(DISTINCT ingest_lib) AS libraries FROM {t}"
 _GROUPS = "SELECT ingest_lib, instrument_type, ionization_mode, count(*) AS n FROM {t} GROUP BY ingest_lib, instrument_type, ionization_mode ORDER BY n DESC, ingest_lib, instrument_type, ionization_mode"
@@ -223,3 +228,29 @@ def drop_reasons(spark: SparkSession, folder: str) -> DataFrame:
     mz = F.col("ms2_mzs")
     reason = F.when(mz.isNull(), "no peaks").when(F.size(mz) == 0, "empty").when(F.size(mz) < 3, "few peaks").when(F.abs("precursor_error_ppm") > 20, "mass error").when(F.array_max(mz) - F.col("precursor_mz") > 3, "above precursor").otherwise("kept")
     return train(spark, folder).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+_MASSES = "(VALUES " + ", ".join(f"('{e}', {m!r}::DOUBLE)" for e, m in MONOISOTOPIC.items()) + ") AS mm(element, em)"
+
+
+@registry.query(f"""
+WITH f AS (SELECT DISTINCT molecular_formula AS formula FROM train WHERE molecular_formula IS NOT NULL),
+p AS (SELECT formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]?[0-9]*')) AS p FROM f),
+m AS (SELECT formula, sum(em * coalesce(nullif(regexp_extract(p, '([0-9]*)$', 1), '')::DOUBLE, 1.0)) AS s, count(*) = count(em) AS known FROM p LEFT JOIN {_MASSES} ON element = regexp_extract(p, '^([A-Z][a-z]?)', 1) GROUP BY formula)
+SELECT formula, round(CASE WHEN known THEN s END, 5) AS mass FROM m""")
+def formula_masses(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact masses, computed once a distinct formula."""
+    return load(spark, folder, "train", F.col("molecular_formula").alias("formula")).where("formula is not null").distinct().select("formula", F.round(formula_mass(F.col("formula")), 5).alias("mass"))
+
+
+@registry.query()
+def model_probabilities(spark: SparkSession, folder: str) -> DataFrame:
+    """A small network with fixed pseudo-random weights over every spectrum's bins and features: mean probability and bits set."""
+    rng = np.random.default_rng(5)
+    sizes = [10_000 + N_FEATURES, 32, 32, 64]
+    layers = [(rng.standard_normal((a, b)).astype(np.float32) / np.sqrt(a), np.zeros(b, dtype=np.float32)) for a, b in zip(sizes[:-1], sizes[1:])]
+    t = train(spark, folder)
+    f = F.array(*M.metadata_features(F.col("precursor_mz"), F.col("adduct"), F.col("ionization_mode"), F.col("collision_energy_ev")))
+    p = S.binned(S.peaks(F.col("ms2_mzs"), F.col("ms2_normalized_intensities")))
+    out = predict(t.select("row_id", p.alias("peaks"), f.alias("features")), "row_id", layers)
+    return out.select("row_id", F.round(F.aggregate("probabilities", F.lit(0.0), lambda a, x: a + x) / F.size("probabilities"), 4).alias("mean_probability"), F.size(F.filter("probabilities", lambda x: x >= 0.5)).alias("bits"))
