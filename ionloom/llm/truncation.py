@@ -125,9 +125,9 @@ def truncated(documents: DataFrame) -> DataFrame:
     # frequent words that begin with the last one, in the same context
     longer = _sql(
         """
-        SELECT c2, c1, p AS w0, sum(inner) AS longer FROM (
-          SELECT c2, c1, inner, explode(transform(sequence(1, length(c0) - 1), i -> substr(c0, 1, i))) AS p
-          FROM (SELECT c2, c1, c0, sum(inner) AS inner FROM @counted WHERE c0 <> 'RARE' AND length(c0) > 1 GROUP BY c2, c1, c0))
+        SELECT c2, c1, p AS w0, sum(n) AS longer FROM (
+          SELECT c2, c1, n, explode(transform(sequence(1, length(c0) - 1), i -> substr(c0, 1, i))) AS p
+          FROM (SELECT c2, c1, c0, sum(n) AS n FROM @counted WHERE c0 <> 'RARE' AND length(c0) > 1 GROUP BY c2, c1, c0))
         GROUP BY c2, c1, p""",
         counted=counted,
     )
@@ -154,7 +154,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     )
     by_chars, by_bytes = (limits.where(F.col("unit") == u).select("source", F.col("size").alias(u), F.lit(True).alias(f"at_{u}")).distinct() for u in ("chars", "bytes"))
     looked = looked.join(by_chars, ["source", "chars"], "left").join(by_bytes, ["source", "bytes"], "left")
-    cut_word = f"longer >= {SUPPORT} AND (c0 = 'RARE' OR coalesce(inner3, 0) < {SUPPORT} AND coalesce(inner3, 0) <= 0.01 * longer)"
+    cut_word = f"longer >= {SUPPORT} AND (c0 = 'RARE' OR n3 - 1 <= {TERMINAL_SHARE} * longer)"
     return _sql(
         f"""
         SELECT doc_id, any_value(source) AS source, min(reason) AS reason FROM (
