@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ionloom.functions.binding import let
+
 EPSILON = 1e-6
 
 
@@ -28,8 +30,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` over its length; NULL for a zero vector."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    return let(lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])), v=v, n=norm(v))
 
 
 def cosine_of_units(a: Column, b: Column) -> Column:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.session import cut
+
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with the average rank of ``value`` (equal values share it), by way of counts per distinct value.
@@ -25,7 +27,7 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """(auc, n_positive, n_negative): the share of (positive, negative) pairs in the right order, ties a half."""
-    flagged = df.where(F.col(score).isNotNull() & positive.isNotNull()).withColumn("__p", positive.cast("int"))
+    flagged = cut(df.where(F.col(score).isNotNull() & positive.isNotNull()).select(score, positive.cast("int").alias("__p")))
     ranked = average_ranks(flagged, score, "__rank")
     sums = ranked.agg(F.sum("__p").alias("n1"), F.sum(1 - F.col("__p")).alias("n0"), F.sum(F.col("__rank") * F.col("__p")).alias("r1"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
@@ -33,8 +35,8 @@ def roc_auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    return average_ranks(average_ranks(both, a, "__ra"), b, "__rb").agg(F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
+    both = cut(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
+    return average_ranks(cut(average_ranks(both, a, "__ra")), b, "__rb").agg(F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
 
 
 def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, *by: str) -> DataFrame:
