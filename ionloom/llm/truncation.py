@@ -23,13 +23,23 @@ _MARKS = r"(?:[\s\u00a0]|\[(?:\.\.\.|…)\]|\.\.\.|…|\ufffd)+$"
 _LETTER = r"[\p{L}\p{M}\p{N}#&&[^\p{IsHan}]]"
 _TOKEN = rf"\p{{IsHan}}|{_LETTER}+(?:[-.,_/’\x27]{_LETTER}+)*[-/]?|\n|[^\s]"
 
-#: Text to tokens: lower case, numbers by shape (the first run of digits of a word is #, later digits are 9), line breaks kept.
-_SHAPES = rf"""
-SELECT doc_id, source, text, body,
-       regexp_extract_all(
-         regexp_replace(regexp_replace(regexp_replace(lower(body), r'\s*\n\s*', '\n'), r'\d', '9'), r'(?<!9)(?<![\p{{L}}\p{{N}}][-.,/’])9+', '#'),
-         r'{_TOKEN}', 0) AS tokens
-FROM (SELECT doc_id, source, text, regexp_replace(text, r'{_MARKS}', '') AS body FROM @docs WHERE text IS NOT NULL)
+def _tokens(body: str) -> str:
+    """Text to tokens: lower case, numbers by shape (the first run of digits of a word is #, later digits are 9), line breaks kept."""
+    plain = rf"regexp_replace(regexp_replace(lower({body}), r'\s*\n\s*', '\n'), r'\d', '9')"
+    return rf"regexp_extract_all(regexp_replace({plain}, r'(?<!9)(?<![\p{{L}}\p{{N}}][-.,/’])9+', '#'), r'{_TOKEN}', 0)"
+
+
+#: Texts without marks of a cut at their end; only those that may have one are searched for it.
+_BODIES = rf"""
+SELECT doc_id, source, text,
+       IF(right(text, 3) = '...' OR right(text, 1) IN (' ', '\n', '\t', '\r', '\u00a0', '\u2003', '\u3000', ']', '…', '\ufffd'), regexp_replace(text, r'{_MARKS}', ''), text) AS body
+FROM @docs WHERE text IS NOT NULL
+"""
+_SHAPES = f"SELECT {_tokens('body')} AS tokens FROM @bodies"
+
+#: The last tokens of a text, from its last characters where these hold enough whole ones, else from all of it.
+_LAST = f"""
+SELECT doc_id, source, text, body, IF(size(near) >= 8, near, {_tokens('body')}) AS tokens FROM (SELECT *, IF(length(body) > 400, {_tokens('right(body, 300)')}, array()) AS near FROM @bodies)
 """
 
 #: Every token with the four before it and the one after it ('$' after the last).
@@ -56,10 +66,6 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
     return out
 
 
-def _shapes(documents: DataFrame) -> DataFrame:
-    return _sql(_SHAPES, docs=documents.select("doc_id", "source", "text"))
-
-
 def _classed(grams: DataFrame, frequent: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``columns`` with the class of each word beside it, c4 to c0: the word itself if frequent or without a letter, else RARE."""
     for c in columns:
@@ -91,7 +97,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts are no cases. Repeated doc_ids come out once. Texts of a null source have no limit.
     Only the classes of frequent words are broadcast; FREQUENT bounds their number to words per text / FREQUENT.
     """
-    shapes = _shapes(documents)
+    bodies = _sql(_BODIES, docs=documents.select("doc_id", "source", "text"))
+    shapes = _sql(_SHAPES, bodies=bodies)
     total = documents.count()
     words = cut(_sql("SELECT w, count(*) AS n, count_if(pos < size - 1) AS inner FROM (SELECT size(tokens) AS size, posexplode(tokens) AS (pos, w) FROM @shapes) GROUP BY w", shapes=shapes))
     frequent = words.where(F.col("n") >= F.lit(max(2.0, FREQUENT * total))).select("w")
@@ -104,9 +111,9 @@ def truncated(documents: DataFrame) -> DataFrame:
         SELECT doc_id, source, element_at(p, -5) AS w4, element_at(p, -4) AS w3, element_at(p, -3) AS w2, element_at(p, -2) AS w1, element_at(p, -1) AS w0,
                text RLIKE r'\ufffd\s*$' AS broken, xxhash64(text) AS hash, length(text) AS chars, octet_length(text) AS bytes, dotted
         FROM (SELECT *, concat(array('^', '^', '^', '^'), IF(dotted, slice(tokens, 1, size(tokens) - 1), tokens)) AS p
-              FROM (SELECT *, body = text AND body RLIKE r'[0-9][.]$' AS dotted FROM @shapes WHERE size(tokens) > 0))
+              FROM (SELECT *, body = text AND body RLIKE r'[0-9][.]$' AS dotted FROM @last WHERE size(tokens) > 0))
         WHERE element_at(p, -1) NOT IN {_STOPS}""",
-        shapes=shapes,
+        last=_sql(_LAST, bodies=bodies),
     )
     finals = cut(_classed(finals, frequent, ("w4", "w3", "w2", "w1", "w0")))
     # at ends of texts, copies of a text count once
