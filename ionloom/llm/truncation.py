@@ -23,6 +23,7 @@ _MARKS = r"(?:[\s\u00a0]|\[(?:\.\.\.|…)\]|\.\.\.|…|\ufffd)+$"
 _LETTER = r"[\p{L}\p{M}\p{N}#&&[^\p{IsHan}]]"
 _TOKEN = rf"\p{{IsHan}}|{_LETTER}+(?:[-.,_/’\x27]{_LETTER}+)*[-/]?|\n|[^\s]"
 
+
 def _tokens(body: str) -> str:
     """Text to tokens: lower case, numbers by shape (the first run of digits of a word is #, later digits are 9), line breaks kept."""
     plain = rf"regexp_replace(regexp_replace(lower({body}), r'\s*\n\s*', '\n'), r'\d', '9')"
@@ -31,21 +32,25 @@ def _tokens(body: str) -> str:
 
 #: Texts without marks of a cut at their end; only those that may have one are searched for it.
 _BODIES = rf"""
-SELECT doc_id, source, text,
-       IF(right(text, 3) = '...' OR right(text, 1) IN (' ', '\n', '\t', '\r', '\u00a0', '\u2003', '\u3000', ']', '…', '\ufffd'), regexp_replace(text, r'{_MARKS}', ''), text) AS body
-FROM @docs WHERE text IS NOT NULL
+SELECT doc_id, source, text, body FROM @docs
+LATERAL VIEW explode(array(
+  IF(right(text, 3) = '...' OR right(text, 1) IN (' ', '\n', '\t', '\r', '\u00a0', '\u000b', '\u000c', ']', '…', '\ufffd'), regexp_replace(text, r'{_MARKS}', ''), text))) b AS body
+WHERE text IS NOT NULL AND body <> ''
 """
-_SHAPES = f"SELECT {_tokens('body')} AS tokens FROM @bodies"
+# explode(array(x)) names x, so that it is computed once a text, however often it is used
+_SHAPES = f"SELECT tokens FROM @bodies LATERAL VIEW explode(array({_tokens('body')})) t AS tokens"
 
 #: The last tokens of a text, from its last characters where these hold enough whole ones, else from all of it.
 _LAST = f"""
-SELECT doc_id, source, text, body, IF(size(near) >= 8, near, {_tokens('body')}) AS tokens FROM (SELECT *, IF(length(body) > 400, {_tokens('right(body, 300)')}, array()) AS near FROM @bodies)
+SELECT doc_id, source, text, body, tokens FROM @bodies
+LATERAL VIEW explode(array(IF(length(body) > 400, {_tokens('right(body, 300)')}, array()))) n AS near
+LATERAL VIEW explode(array(IF(size(near) >= 8, near, {_tokens('body')}))) t AS tokens
 """
 
 #: Every token with the four before it and the one after it ('$' after the last).
 _GRAMS = """
 SELECT w4, w3, w2, w1, w0, nx
-FROM (SELECT size(tokens) AS n, concat(array('^', '^', '^', '^'), tokens, array('$')) AS p FROM @shapes WHERE size(tokens) > 0)
+FROM (SELECT size(tokens) AS n, concat(array('^', '^', '^', '^'), tokens, array('$')) AS p FROM @shapes)
 LATERAL VIEW inline(arrays_zip(slice(p, 1, n), slice(p, 2, n), slice(p, 3, n), slice(p, 4, n), slice(p, 5, n), slice(p, 6, n))) g AS w4, w3, w2, w1, w0, nx
 """
 
@@ -111,7 +116,7 @@ def truncated(documents: DataFrame) -> DataFrame:
         SELECT doc_id, source, element_at(p, -5) AS w4, element_at(p, -4) AS w3, element_at(p, -3) AS w2, element_at(p, -2) AS w1, element_at(p, -1) AS w0,
                text RLIKE r'\ufffd\s*$' AS broken, xxhash64(text) AS hash, length(text) AS chars, octet_length(text) AS bytes, dotted
         FROM (SELECT *, concat(array('^', '^', '^', '^'), IF(dotted, slice(tokens, 1, size(tokens) - 1), tokens)) AS p
-              FROM (SELECT *, body = text AND body RLIKE r'[0-9][.]$' AS dotted FROM @last WHERE size(tokens) > 0))
+              FROM (SELECT *, body = text AND body RLIKE r'[0-9][.]$' AS dotted FROM @last))
         WHERE element_at(p, -1) NOT IN {_STOPS}""",
         last=_sql(_LAST, bodies=bodies),
     )
