@@ -21,7 +21,7 @@ LIMIT_SHARE, LIMIT_PEAK = 0.01, 10.0
 
 _MARKS = r"(?:[\s\u00a0]|\[(?:\.\.\.|…)\]|\.\.\.|…|\ufffd)+$"
 _LETTER = r"[\p{L}\p{M}\p{N}#&&[^\p{IsHan}]]"
-_TOKEN = rf"\p{{IsHan}}|{_LETTER}+(?:[-.,_/’\x27]{_LETTER}+)*[-/]?|\n|[^\s]"
+_TOKEN = rf"\p{{IsHan}}|{_LETTER}+(?:[-.,_/’\x27]{_LETTER}+)*[-/’\x27]?|\n|[^\s]"
 
 
 def _tokens(body: str) -> str:
@@ -92,8 +92,8 @@ def truncated(documents: DataFrame) -> DataFrame:
     punctuation, ellipsis marks aside, the last trigram of word classes is joined with the counts:
 
     - ``trigram``: it is frequent inside texts and, the text itself aside, almost never terminal. Where the trigram in
-      a longer context of up to five words has enough support, that decides; where it lacks support, the bigram does,
-      then the word. A word after which texts or sentences mostly end in its four-word context is no cut, whatever it is.
+      a longer context of up to five words has enough support and is almost never or mostly terminal, that decides;
+      where it lacks support or is neither, the bigram does, then the word. A word after which texts or sentences mostly end in its four-word context is no cut, whatever it is.
     - ``word``: the trigram is hardly ever seen, but frequent ones continue its last word or number; or the last word
       never stands inside a text while longer words begin with it.
     - ``limit``: the text is as long (in characters or bytes) as its source's limit, a length at which texts pile up.
@@ -145,7 +145,7 @@ def truncated(documents: DataFrame) -> DataFrame:
     )
     looked = looked.join(longer, ["c2", "c1", "w0"], "left")
     # any words that begin with the last one, where that never stands inside a text
-    stems = _sql(r"SELECT DISTINCT w0 FROM @finals WHERE w0 RLIKE r'\p{L}[-/]?$'", finals=finals)
+    stems = _sql(r"SELECT DISTINCT w0 FROM @finals WHERE w0 RLIKE r'\p{L}[-/’\x27]?$|#[-/]$'", finals=finals)
     unseen = stems.join(words.where("inner > 0").select(F.col("w").alias("w0")), "w0", "left_anti")
     begun = _sql("SELECT p AS w0, sum(inner) AS begun FROM (SELECT inner, explode(transform(sequence(1, length(w) - 1), i -> substr(w, 1, i))) AS p FROM @words WHERE inner > 0 AND length(w) > 1) GROUP BY p", words=words)
     looked = looked.join(unseen.join(begun, "w0"), "w0", "left")
@@ -178,15 +178,15 @@ def truncated(documents: DataFrame) -> DataFrame:
               WHEN begun >= 2 THEN 'word'
               WHEN nw > {SUPPORT} AND 2 * (endsw - 1) >= nw - 1 THEN NULL
               WHEN inner5 >= {SUPPORT} AND ends5 - 1 <= {TERMINAL_SHARE} * (n5 - 1) THEN 'trigram'
-              WHEN n5 > {SUPPORT} THEN NULL
+              WHEN n5 > {SUPPORT} AND 2 * (ends5 - 1) >= n5 - 1 THEN NULL
               WHEN inner4 >= {SUPPORT} AND ends4 - 1 <= {TERMINAL_SHARE} * (n4 - 1) THEN 'trigram'
-              WHEN n4 > {SUPPORT} THEN NULL
+              WHEN n4 > {SUPPORT} AND 2 * (ends4 - 1) >= n4 - 1 THEN NULL
               WHEN inner3 >= {SUPPORT} AND ends3 - 1 <= {TERMINAL_SHARE} * (n3 - 1) THEN 'trigram'
-              WHEN n3 > {SUPPORT} THEN NULL
+              WHEN n3 > {SUPPORT} AND 2 * (ends3 - 1) >= n3 - 1 THEN NULL
               WHEN c0 <> 'RARE' AND inner2 >= {SUPPORT} AND ends2 - 1 <= {TERMINAL_SHARE} * (n2 - 1) THEN 'trigram'
-              WHEN n2 > {SUPPORT} THEN NULL
+              WHEN n2 > {SUPPORT} AND 2 * (ends2 - 1) >= n2 - 1 THEN NULL
               WHEN c0 <> 'RARE' AND inner1 >= {SUPPORT} AND ends1 - 1 <= {TERMINAL_SHARE} * (n1 - 1) THEN 'trigram'
-              WHEN n1 > {SUPPORT} THEN NULL
+              WHEN n1 > {SUPPORT} AND 2 * (ends1 - 1) >= n1 - 1 THEN NULL
             END AS reason FROM @looked)
         WHERE reason IS NOT NULL GROUP BY doc_id""",
         looked=looked,
