@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.skew import salted_join
+from ionloom.session import cut
 
 
 def ppm_join(queries: DataFrame, structures: DataFrame, query_mass: str, mass: str, ppm: float = 10.0) -> DataFrame:
@@ -64,3 +65,26 @@ def mass_chunks(structures: DataFrame, mass: str, rows: int) -> DataFrame:
     inside = Window.partitionBy("cell").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
     chunks = counts.join(F.broadcast(before), "cell").select("m", F.floor((F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))) / rows).cast("bigint").alias("chunk"))
     return structures.join(chunks, F.col(mass) == F.col("m")).drop("m")
+
+
+def with_position(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """``df`` with the place of each row, from 0, in a global order: range partitions, then the sizes of those before.
+
+    Only one row a partition is broadcast; the sorted rows are kept, so the places can't change on a retry.
+    """
+    width = 1 << 33
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.floor(F.col("__id") / width).alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.withColumn("__part", F.floor(F.col("__id") / width)).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__id") % width).drop("__id", "__part", "__before")
+
+
+def window_spans(queries: DataFrame, placed: DataFrame, query_mass: str, mass: str, ppm: float = 10.0, position: str = "position") -> DataFrame:
+    """``queries`` with the first position and the number of structures in their window (queries without any are left out).
+
+    Windows are joined on distinct masses with their counts, so a mass that many structures and queries share is one row.
+    """
+    masses = placed.where(F.col(mass).isNotNull()).groupBy(F.col(mass).alias("__s")).agg(F.count("*").alias("__c"), F.min(position).alias("__f"))
+    asked = queries.select(F.col(query_mass).alias("__m")).distinct()
+    spans = ppm_join(asked, masses, "__m", "__s", ppm).groupBy("__m").agg(F.min("__f").alias("first"), F.sum("__c").alias("n"))
+    return queries.join(spans, F.col(query_mass) == F.col("__m")).drop("__m")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.dedupe import first_n
-from ionloom.operators.ppm import ppm_join
+from ionloom.operators.ppm import window_spans, with_position
 
 
 def hash_order(seed: int, *ids: Column) -> Column:
@@ -44,28 +44,36 @@ def whole_groups(df: DataFrame, key: str, rows: int, cap: int, seed: int = 0) ->
     return first.withColumn("before", before).where(F.col("before") < rows).select(key, "taken")
 
 
+#: Step between the draws of fixed_decoys: a prime, so that draws repeat only in windows of a multiple of its size.
+STEP = 1_000_003
+
+
+def _spans(queries: DataFrame, structures: DataFrame, query_key: str, query_mass: str, key: str, mass: str, ppm: float) -> tuple[DataFrame, DataFrame]:
+    placed = with_position(structures.where(F.col(mass).isNotNull()).select(F.col(mass).alias("s"), F.col(key).alias("k")), "s", "k")
+    return window_spans(queries.select(F.col(query_key).alias("q"), F.col(query_mass).alias("m")), placed, "m", "s", ppm), placed
+
+
 def fixed_decoys(queries: DataFrame, structures: DataFrame, *, query_key: str, query_mass: str, key: str, mass: str, drawn: int = 48, kept: int = 32, ppm: float = 10.0, seed: int = 0) -> DataFrame:
     """(query_key, key, slot, window_size): up to ``kept`` structures of a query's window that aren't itself.
 
-    ``drawn`` are drawn without replacement, in hash order; of these the first that differ from the query are kept.
+    ``drawn`` are drawn without replacement, from a hashed start in steps of STEP around the window; of these the first
+    that differ from the query are kept. Windows are spans of positions: no window is ever listed.
     """
-    window = ppm_join(queries.select(F.col(query_key).alias("q"), F.col(query_mass).alias("m")), structures.select(F.col(key).alias("k"), F.col(mass).alias("s")), "m", "s", ppm)
-    order = Window.partitionBy("q").orderBy(hash_order(seed, F.col("q"), F.col("k")), "k")
-    ranked = window.select("q", "k").withColumn("r", F.row_number().over(order))
-    sizes = window.groupBy("q").agg(F.count("*").alias("window_size"))
-    others = ranked.where((F.col("r") <= drawn) & (F.col("q") != F.col("k"))).withColumn("slot", F.row_number().over(Window.partitionBy("q").orderBy("r")))
-    return others.where(F.col("slot") <= kept).join(sizes, "q").select(F.col("q").alias(query_key), F.col("k").alias(key), F.col("slot").cast("bigint").alias("slot"), "window_size")
+    spans, placed = _spans(queries, structures, query_key, query_mass, key, mass, ppm)
+    draws = spans.withColumn("j", F.explode(F.sequence(F.lit(0), F.least(F.lit(drawn), F.col("n")).cast("int") - 1)))
+    at = (F.floor(hash_share(seed, F.col("q")) * F.col("n")).cast("bigint") + F.col("j").cast("bigint") * STEP) % F.col("n")
+    found = draws.withColumn("position", F.col("first") + at).join(placed.select("position", "k"), "position").where("q <> k")
+    slots = found.withColumn("slot", F.row_number().over(Window.partitionBy("q").orderBy("j")).cast("bigint")).where(F.col("slot") <= kept)
+    return slots.select(F.col("q").alias(query_key), F.col("k").alias(key), "slot", F.col("n").alias("window_size"))
 
 
 def fresh_decoys(queries: DataFrame, structures: DataFrame, *, query_key: str, query_mass: str, key: str, mass: str, slots: int = 32, ppm: float = 10.0, seed: int = 0) -> DataFrame:
     """(query_key, slot, key): ``slots`` draws with replacement from a query's window; a smaller window gives each row once.
 
-    A draw of the query itself leaves its slot empty (no row).
+    A draw of the query itself leaves its slot empty (no row). Windows are spans of positions, as in fixed_decoys.
     """
-    window = ppm_join(queries.select(F.col(query_key).alias("q"), F.col(query_mass).alias("m")), structures.select(F.col(key).alias("k"), F.col(mass).alias("s")), "m", "s", ppm).select("q", "k", "s")
-    placed = window.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy("s", "k")) - 1)
-    sizes = window.groupBy("q").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(slots), F.col("n")) - 1)))
-    draws = draws.withColumn("at", F.when(F.col("n") < slots, F.col("slot")).otherwise(F.floor(hash_share(seed, F.concat_ws("#", "q", "slot")) * F.col("n"))).cast("bigint"))
-    drawn = draws.join(placed, ["q", "at"]).where("q <> k")
+    spans, placed = _spans(queries, structures, query_key, query_mass, key, mass, ppm)
+    draws = spans.withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(slots), F.col("n")).cast("int") - 1)))
+    at = F.when(F.col("n") < slots, F.col("slot")).otherwise(F.floor(hash_share(seed, F.concat_ws("#", "q", "slot")) * F.col("n"))).cast("bigint")
+    drawn = draws.withColumn("position", F.col("first") + at).join(placed.select("position", "k"), "position").where("q <> k")
     return drawn.select(F.col("q").alias(query_key), F.col("slot").cast("bigint").alias("slot"), F.col("k").alias(key))

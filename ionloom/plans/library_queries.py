@@ -366,9 +366,10 @@ def _bank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.query(f"""
-WITH {_DECOY}, r AS (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY md5('0|' || q || '|' || k), k) AS r FROM w),
-o AS (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY r) AS slot FROM r WHERE r <= 48 AND q <> k)
-SELECT q AS query_key, k AS decoy, slot, n AS window_size FROM o JOIN n USING (q) WHERE slot <= 32""")
+WITH {_DECOY}, p AS (SELECT q, k, row_number() OVER (PARTITION BY q ORDER BY s, k) - 1 AS at FROM w),
+d AS (SELECT q, n, unnest(range(0, least(48, n))) AS j FROM n), e AS (SELECT q, n, j, (floor({_SHARE.format(seed="'0'", c="q")} * n)::BIGINT + j * 1000003) % n AS at FROM d),
+o AS (SELECT e.q, k, n, row_number() OVER (PARTITION BY e.q ORDER BY j) AS slot FROM e JOIN p ON e.q = p.q AND e.at = p.at WHERE e.q <> k)
+SELECT q AS query_key, k AS decoy, slot, n AS window_size FROM o WHERE slot <= 32""")
 def fixed_decoys(spark: SparkSession, folder: str) -> DataFrame:
     bank = _bank(spark, folder)
     queries = bank.select(F.col("key").alias("query_key"), F.col("mass").alias("query_mass"))
