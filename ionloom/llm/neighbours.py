@@ -73,7 +73,7 @@ def fit_pivots(vectors: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> n
 
 
 def _routed(vectors: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
-    """(id, v, pivots): the nearest ``probes`` pivots of each vector, the nearest (its home) first."""
+    """(id, v, asks, pivots): the nearest ``probes`` pivots of each vector, the nearest (its home) first."""
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
@@ -82,34 +82,33 @@ def _routed(vectors: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
             x = _unpack(b.column(1))
             near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if len(x) else np.empty((0, 1), np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], names=["id", "v", "pivots"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], names=["id", "v", "asks", "pivots"])
 
-    return vectors.select("id", "v").mapInArrow(run, "id bigint, v binary, pivots array<int>")
+    return vectors.select("id", "v", "asks").mapInArrow(run, "id bigint, v binary, asks boolean, pivots array<int>")
 
 
 def nearest(vectors: DataFrame, k: int, *, probes: int = 4, beam: int = 40, floor: float = -1.0, asked: Column | None = None, every_shard: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, neighbour, sim): up to ``k`` most similar others of each vector (id, v), with ``sim`` of ``floor`` or more.
 
     Every vector is indexed, in the shard of its nearest pivot, and asks the graphs of its ``probes`` nearest pivots
-    (``every_shard``: of all of them). ``asked``: a condition on id for the vectors that ask; all do by default.
+    (``every_shard``: of all of them). ``asked``: a condition on the columns of ``vectors`` for those that ask; all do by default.
     Equal vectors are no special case here; see :func:`most_similar` for classes of copies.
     """
-    held = cut(vectors)
+    held = cut(vectors.select("id", "v", (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks")))
     rows = held.count()
     pivots = fit_pivots(held, rows, shard_rows)
     routed = cut(_routed(held, pivots, len(pivots) if every_shard else min(probes, len(pivots))))
-    asking = F.lit(True) if asked is None else asked
     # at most MAX_PIVOTS rows each come to the driver
     home = {r[0]: r[1] for r in routed.groupBy(F.element_at("pivots", 1).alias("p")).count().collect()}
-    visits = {r[0]: r[1] for r in routed.where(asking).select(F.explode("pivots").alias("p")).groupBy("p").count().collect()}
+    visits = {r[0]: r[1] for r in routed.where("asks").select(F.explode("pivots").alias("p")).groupBy("p").count().collect()}
     spark = vectors.sparkSession
     plan = spark.createDataFrame([(p, -(-n // (2 * shard_rows)), max(1, -(-visits.get(p, 0) // max(VISITS, 8 * shard_rows)))) for p, n in home.items()] or [(-1, 1, 1)], "p int, subs int, parts int")
     spread = F.broadcast(plan)
     hashed = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     # every part of a shard holds all its home vectors; each visitor goes to one part of every sub-shard
-    at_home = routed.withColumn("p", F.element_at("pivots", 1)).join(spread, "p").select("p", hashed(1, F.col("subs")).alias("sub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "id", "v", asking.alias("asks"))
+    at_home = routed.withColumn("p", F.element_at("pivots", 1)).join(spread, "p").select("p", hashed(1, F.col("subs")).alias("sub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "id", "v", "asks")
     at_home = at_home.withColumn("asks", F.col("asks") & (F.col("part") == F.lit(0)))
-    visitors = routed.where(asking).select("id", "v", F.posexplode("pivots").alias("pos", "p")).join(spread, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), hashed(2, F.col("parts")).alias("part"), F.lit(False).alias("home"), "id", "v", F.lit(True).alias("asks"), "pos", hashed(1, F.col("subs")).alias("own"))
+    visitors = routed.where("asks").select("id", "v", F.posexplode("pivots").alias("pos", "p")).join(spread, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), hashed(2, F.col("parts")).alias("part"), F.lit(False).alias("home"), "id", "v", F.lit(True).alias("asks"), "pos", hashed(1, F.col("subs")).alias("own"))
     visitors = visitors.where("pos > 0 or own <> sub").drop("pos", "own")
 
     def search(table: pa.Table) -> pa.Table:
@@ -139,17 +138,18 @@ def nearest(vectors: DataFrame, k: int, *, probes: int = 4, beam: int = 40, floo
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def most_similar(df: DataFrame, ident: str, vector: str, k: int = 5, *, floor: float = -1.0, **how) -> DataFrame:
+def most_similar(df: DataFrame, ident: str, vector: str, k: int = 5, *, floor: float = -1.0, asked: Column | None = None, **how) -> DataFrame:
     """(id, neighbour, sim): the ``k`` most similar others of every id, ties to the smaller id.
 
     Copies of a vector form a class: one stands for it in the index, so a class with a third of all rows is one node.
     A member's neighbours are members of its own class, then those of the classes found; of each class the k + 1
-    smallest ids suffice. See :func:`unit_vectors` for the rows left out; an empty table gives an empty result.
+    smallest ids suffice. ``asked``: a condition on id for the rows that ask; a class asks if any member does, and all its
+    members are answered. Members of other classes get their own copies only. See :func:`unit_vectors` for the rows left out; an empty table gives an empty result.
     """
     vectors = cut(unit_vectors(df, ident, vector).withColumn("copy", F.md5("v")))
-    classes = vectors.groupBy("copy").agg(F.min("id").alias("rep"), F.min("v").alias("v"), F.count("*").alias("members"))
+    classes = vectors.groupBy("copy").agg(F.min("id").alias("rep"), F.min("v").alias("v"), F.count("*").alias("members"), F.bool_or(F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks"))
     members = vectors.select("id", "copy").join(classes.select("copy", "rep", "members"), "copy").select("id", "rep", "members")
-    pairs = cut(nearest(classes.select(F.col("rep").alias("id"), "v"), k, floor=floor, **how))
+    pairs = cut(nearest(classes.select(F.col("rep").alias("id"), "v", "asks"), k, floor=floor, asked=F.col("asks"), **how))
     single = members.where("members = 1").select("id")
     shared = cut(members.where("members > 1").select("id", "rep"))
     heads = cut(shared.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("head")))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from ionloom.llm.graph import ShardGraph
 from ionloom.llm.neighbours import most_similar, nearest, similar_pairs, unit_vectors
@@ -75,6 +76,19 @@ def test_dirty_rows_and_copies(spark):
     assert pairs == {(min(a, b), max(a, b)) for a, t in brute(np.arange(200), x, 5, 0.9).items() for b in t}
 
 
+def test_asking_copies(spark):
+    rng = np.random.default_rng(4)
+    x = clumps(rng, 250)
+    x[100] = x[7]  # a pair, of which only the larger id asks
+    x[[150, 200, 220]] = x[31]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in most_similar(frame(spark, rows), "row_id", "embedding", 5, asked=F.col("id") % 100 == 0, every_shard=True, beam=96).where("id % 100 = 0").collect():
+        got.setdefault(r.id, []).append((-r.sim, r.neighbour))
+    true = brute(np.arange(250), x, 5)
+    assert {i: [n for _, n in sorted(v)] for i, v in got.items()} == {i: true[i] for i in (0, 100, 200)}
+
+
 def test_empty(spark):
     assert similar_pairs(frame(spark, []), "row_id", "embedding").collect() == []
     assert most_similar(frame(spark, [(1, [1.0, 2.0])]), "row_id", "embedding").collect() == []
