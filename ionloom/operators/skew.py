@@ -16,9 +16,13 @@ def key_counts(df: DataFrame, key: Column, salts: int = 16) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: Column, share: float) -> DataFrame:
-    """(key, n): the keys with at least ``share`` of all rows of ``df``, null keys aside; never more than 1/share rows."""
-    total = df.count()
-    return key_counts(df, key).where(F.col("n") >= F.lit(share * total))
+    """(key, n): the keys with at least ``share`` of all rows of ``df``, null keys aside; never more than 1/share rows.
+
+    One aggregation gives the counts and, added up, the total; nothing runs while the plan is built.
+    """
+    counts = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("__total")))  # one row
+    return counts.join(total, F.col("key").isNotNull() & (F.col("n") >= F.lit(share) * F.col("__total"))).drop("__total")
 
 
 def salted_aggregate(df: DataFrame, key: Column, distinct: Column, value: Column, *, heavy_share: float = 0.01, salts: int = 32) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,7 @@ def build_session(app: str = "ionloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -38,10 +41,52 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
+#: The applications whose tables are removed when they end.
+_removed_at_exit: set[str] = set()
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove what :func:`cut` wrote in this application; DataFrames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark) + "/cuts")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _drop_quietly(spark: SparkSession) -> None:
+    try:
+        drop_cuts(spark)
+    except Exception:  # the JVM has gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder: cuts its lineage and survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the checkpoint folder and read again: cuts its lineage and survives the loss of any executor.
+
+    ``checkpoint()`` would compute the last stage twice, once to count and once to write. The tables are removed when
+    the application ends, or by :func:`drop_cuts`.
+    """
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if folder not in _removed_at_exit:
+        _removed_at_exit.add(folder)
+        atexit.register(_drop_quietly, spark)
+    path = f"{folder}/cuts/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_in_place(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed with its partitioning and order, so that later groupings by its keys need no exchange.
+
+    They are kept only if the plan was made without adaptive execution.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def parallelism(spark: SparkSession) -> int:
