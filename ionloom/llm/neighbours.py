@@ -7,115 +7,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.llm import shards as S
 from ionloom.llm.graph import ShardGraph
 from ionloom.operators.skew import salted_join
 from ionloom.session import cut
 
-#: Vectors a shard is meant to hold; a pivot with twice as many is split by hash, and is searched in all its parts.
-SHARD_ROWS = 3000
 #: Vectors that search a shard in one task; with more, the shard's graph is built in several tasks.
-VISITS = 8 * SHARD_ROWS
-#: Rows of the sample (by hash) that the pivots are fitted on, and the most pivots (2 MB at 128 numbers).
-PIVOT_SAMPLE, MAX_PIVOTS = 32_768, 4096
+VISITS = 8 * S.SHARD_ROWS
 
 
-def unit_vectors(df: DataFrame, ident: str, vector: str) -> DataFrame:
-    """(id, v): each id once, its vector scaled to unit length, as bytes of float32.
-
-    Null and zero vectors, those with a null, NaN or infinite number, and those of another length than most are left
-    out: no cosine is defined for them. Of differing vectors of one id the first in byte order counts.
-    """
-    slim = df.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("e")).where("id is not null and e is not null and size(e) > 0")
-    common = slim.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = common[0] if common else 1
-
-    def run(batches):
-        for b in batches:
-            flat = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, dims).astype(np.float64)
-            norm = np.sqrt((flat * flat).sum(axis=1))
-            ok = np.isfinite(norm) & (norm > 0)
-            unit = (flat[ok] / norm[ok, None]).astype("<f4")
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), _pack(unit)], names=["id", "v"])
-
-    return slim.where(F.size("e") == dims).mapInArrow(run, "id bigint, v binary").groupBy("id").agg(F.min("v").alias("v"))
-
-
-def _pack(x: np.ndarray) -> pa.Array:
-    return pa.array([row.tobytes() for row in np.ascontiguousarray(x, dtype="<f4")], type=pa.binary())
-
-
-def _unpack(column) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=pa.binary())
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype="<f4").reshape(len(rows), -1) if rows else np.empty((0, 1), dtype=np.float32)
-
-
-def fit_pivots(vectors: DataFrame, rows: int, shard_rows: int = SHARD_ROWS) -> np.ndarray:
-    """Unit pivots by spherical k-means on a hash sample of at most about PIVOT_SAMPLE vectors."""
-    k = int(min(MAX_PIVOTS, max(1, -(-rows // shard_rows))))
-    share = min(1.0, PIVOT_SAMPLE / max(1, rows))
-    sample = vectors.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("id", "v").orderBy(F.xxhash64("id", F.lit(12)), "id").limit(2 * PIVOT_SAMPLE).toArrow()
-    x = _unpack(sample.column("v"))
-    if not len(x):
-        return np.zeros((1, 1), dtype=np.float32)
-    pivots = x[: min(k, len(x))].copy()
-    for _ in range(8):
-        near = np.concatenate([(x[i : i + 4096] @ pivots.T).argmax(axis=1) for i in range(0, len(x), 4096)])
-        order = np.argsort(near, kind="stable")
-        used, start = np.unique(near[order], return_index=True)
-        total = np.add.reduceat(x[order], start, axis=0)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        pivots[used] = np.where(norm > 0, total / np.maximum(norm, 1e-12), pivots[used])
-    return pivots
-
-
-def _routed(vectors: DataFrame, pivots: np.ndarray, probes: int) -> DataFrame:
-    """(id, v, asks, pivots): the nearest ``probes`` pivots of each vector, the nearest (its home) first."""
-    held = vectors.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches):
-        p = held.value
-        for b in batches:
-            x = _unpack(b.column(1))
-            near = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :probes].astype(np.int32) if len(x) else np.empty((0, 1), np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32)), pa.array(near.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), lists], names=["id", "v", "asks", "pivots"])
-
-    return vectors.select("id", "v", "asks").mapInArrow(run, "id bigint, v binary, asks boolean, pivots array<int>")
-
-
-def nearest(vectors: DataFrame, k: int, *, probes: int = 4, beam: int = 40, floor: float = -1.0, asked: Column | None = None, every_shard: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(id, neighbour, sim): up to ``k`` most similar others of each vector (id, v), with ``sim`` of ``floor`` or more.
+def nearest(vectors: DataFrame, k: int, *, probes: int = 4, beam: int = 40, floor: float = -1.0, every_shard: bool = False, shard_rows: int = S.SHARD_ROWS, max_pivots: int = S.MAX_PIVOTS) -> DataFrame:
+    """(id, neighbour, sim): up to ``k`` most similar others of each vector (id, v, asks) that asks, with ``sim`` of ``floor`` or more.
 
     Every vector is indexed, in the shard of its nearest pivot, and asks the graphs of its ``probes`` nearest pivots
-    (``every_shard``: of all of them). ``asked``: a condition on the columns of ``vectors`` for those that ask; all do by default.
+    (``every_shard``: of all of them). ``vectors`` must be materialised.
     Equal vectors are no special case here; see :func:`most_similar` for classes of copies.
     """
-    held = cut(vectors.select("id", "v", (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks")))
-    rows = held.count()
-    pivots = fit_pivots(held, rows, shard_rows)
-    routed = cut(_routed(held, pivots, len(pivots) if every_shard else min(probes, len(pivots))))
-    # at most MAX_PIVOTS rows each come to the driver
-    home = {r[0]: r[1] for r in routed.groupBy(F.element_at("pivots", 1).alias("p")).count().collect()}
-    visits = {r[0]: r[1] for r in routed.where("asks").select(F.explode("pivots").alias("p")).groupBy("p").count().collect()}
-    spark = vectors.sparkSession
-    plan = spark.createDataFrame([(p, -(-n // (2 * shard_rows)), max(1, -(-visits.get(p, 0) // max(VISITS, 8 * shard_rows)))) for p, n in home.items()] or [(-1, 1, 1)], "p int, subs int, parts int")
-    spread = F.broadcast(plan)
-    hashed = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+    held = vectors.select("id", "v", "asks")
+    layout = S.lay_out(held, held.count(), shard_rows, max_pivots)
+    routed = S.route(held, layout, probes)
+    home = routed.withColumn("shard", F.col("shards")[0]).drop("shards")
+    away = routed.where("asks").withColumn("own", F.col("shards")[0])
+    away = S.every_shard(away.drop("shards"), layout) if every_shard else away.withColumn("shard", F.explode("shards")).drop("shards")
+    visits = away.groupBy("shard").agg(F.count("*").alias("visits"))
+    plan = home.groupBy("shard").agg(F.count("*").alias("n")).join(visits, "shard", "left")
+    plan = plan.select("shard", F.ceil(F.col("n") / (2 * shard_rows)).alias("subs"), F.greatest(F.lit(1), F.ceil(F.coalesce("visits", F.lit(0)) / max(VISITS, 8 * shard_rows))).alias("parts"))
+    plan, tasks = S.numbered(plan, F.col("subs") * F.col("parts"))
+    hashed = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), n)
+    group = F.col("first") + F.col("sub") * F.col("parts") + F.col("part")
     # every part of a shard holds all its home vectors; each visitor goes to one part of every sub-shard
-    at_home = routed.withColumn("p", F.element_at("pivots", 1)).join(spread, "p").select("p", hashed(1, F.col("subs")).alias("sub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "id", "v", "asks")
-    at_home = at_home.withColumn("asks", F.col("asks") & (F.col("part") == F.lit(0)))
-    visitors = routed.where("asks").select("id", "v", F.posexplode("pivots").alias("pos", "p")).join(spread, "p").select("p", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), hashed(2, F.col("parts")).alias("part"), F.lit(False).alias("home"), "id", "v", F.lit(True).alias("asks"), "pos", hashed(1, F.col("subs")).alias("own"))
-    visitors = visitors.where("pos > 0 or own <> sub").drop("pos", "own")
+    at_home = S.joined(home, plan, tasks).withColumn("sub", hashed(1, F.col("subs"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    at_home = at_home.select(group.alias("block"), F.lit(True).alias("home"), "id", "v", (F.col("asks") & (F.col("part") == 0)).alias("asks"))
+    visitors = S.joined(away, plan, tasks).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1))).withColumn("part", hashed(2, F.col("parts")))
+    visitors = visitors.where((F.col("shard") != F.col("own")) | (F.col("sub") != hashed(1, F.col("subs")))).select(group.alias("block"), F.lit(False).alias("home"), "id", "v", F.lit(True).alias("asks"))
 
     def search(table: pa.Table) -> pa.Table:
         home = np.asarray(table.column("home").to_numpy(zero_copy_only=False), dtype=bool)
         asks = np.asarray(table.column("asks").to_numpy(zero_copy_only=False), dtype=bool)
         ids = table.column("id").to_numpy()
-        x = _unpack(table.column("v"))
+        x = S.unpack(table.column("v"))
         order = np.flatnonzero(home)[np.argsort(ids[home], kind="stable")]
         base = ids[order]
         graph = ShardGraph(x[order])
@@ -130,10 +60,7 @@ def nearest(vectors: DataFrame, k: int, *, probes: int = 4, beam: int = 40, floo
         exact = np.einsum("ed,ed->e", x[order][node].astype(np.float64), x[asks][r].astype(np.float64))
         return pa.table({"id": pa.array(who[r], type=pa.int64()), "neighbour": pa.array(base[node], type=pa.int64()), "sim": pa.array(exact)})
 
-    # a task for every group or two, however few partitions other shuffles take
-    groups = sum(-(-n // (2 * shard_rows)) * max(1, -(-visits.get(p, 0) // max(VISITS, 8 * shard_rows))) for p, n in home.items())
-    work = at_home.unionByName(visitors).repartition(max(1, min(2 * groups, 20_000)), "p", "sub", "part")
-    found = work.groupBy("p", "sub", "part").applyInArrow(search, "id bigint, neighbour bigint, sim double")
+    found = S.placed(at_home.unionByName(visitors), tasks).groupBy("task", "block").applyInArrow(search, "id bigint, neighbour bigint, sim double")
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
@@ -144,14 +71,14 @@ def most_similar(df: DataFrame, ident: str, vector: str, k: int = 5, *, floor: f
     Copies of a vector form a class: one stands for it in the index, so a class with a third of all rows is one node.
     A member's neighbours are members of its own class, then those of the classes found; of each class the k + 1
     smallest ids suffice. ``asked``: a condition on id for the rows that ask; a class asks if any member does, and all its
-    members are answered. Members of other classes get their own copies only. See :func:`unit_vectors` for the rows left out; an empty table gives an empty result.
+    members are answered. Members of other classes get their own copies only. See :func:`shards.distinct_vectors` for the
+    rows left out; an empty table gives an empty result.
     """
-    vectors = cut(unit_vectors(df, ident, vector).withColumn("copy", F.md5("v")))
-    classes = vectors.groupBy("copy").agg(F.min("id").alias("rep"), F.min("v").alias("v"), F.count("*").alias("members"), F.bool_or(F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asks"))
-    members = vectors.select("id", "copy").join(classes.select("copy", "rep", "members"), "copy").select("id", "rep", "members")
-    pairs = cut(nearest(classes.select(F.col("rep").alias("id"), "v", "asks"), k, floor=floor, asked=F.col("asks"), **how))
-    single = members.where("members = 1").select("id")
-    shared = cut(members.where("members > 1").select("id", "rep"))
+    members, classes = S.distinct_vectors(df, ident, vector, asked)
+    members = cut(members)
+    pairs = cut(nearest(classes, k, floor=floor, **how))
+    single = members.where("copies = 1").select("id")
+    shared = members.where("copies > 1").select("id", "rep")
     heads = cut(shared.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select("rep", F.col("id").alias("head")))
     # neighbours of a class are spelt out to its first members; then the members of the asking class each take all
     spelt = pairs.join(heads.withColumnRenamed("rep", "neighbour"), "neighbour", "left").select("id", F.coalesce("head", "neighbour").alias("neighbour"), "sim")

@@ -2,7 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ionloom.llm.graph import ShardGraph
-from ionloom.llm.neighbours import most_similar, nearest, similar_pairs, unit_vectors
+from ionloom.llm.neighbours import most_similar, nearest, similar_pairs
+from ionloom.llm.shards import distinct_vectors
 
 SCHEMA = "row_id bigint, embedding array<float>, id string, v string, sim int"
 
@@ -51,12 +52,14 @@ def test_recall_over_shards(spark):
     rng = np.random.default_rng(2)
     x = clumps(rng, 3000)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    vectors = unit_vectors(frame(spark, rows), "row_id", "embedding")
-    got = {}
-    for r in nearest(vectors, 5, shard_rows=400).collect():
-        got.setdefault(r.id, set()).add(r.neighbour)
+    _, vectors = distinct_vectors(frame(spark, rows), "row_id", "embedding")
     true = brute(np.arange(3000), x, 5)
-    assert np.mean([len(got[i] & set(t)) / 5 for i, t in true.items()]) > 0.9
+    # one level of pivots; two levels; two levels, asking every shard
+    for how in ({"shard_rows": 400}, {"shard_rows": 150, "max_pivots": 5}, {"shard_rows": 150, "max_pivots": 3, "every_shard": True}):
+        got = {}
+        for r in nearest(vectors, 5, **how).collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+        assert np.mean([len(got[i] & set(t)) / 5 for i, t in true.items()]) > 0.9
 
 
 def test_dirty_rows_and_copies(spark):
