@@ -118,7 +118,8 @@ class Layout(NamedTuple):
 WIDE = 2 * MAX_PIVOTS
 
 
-def _cells(vectors: DataFrame, pivots: np.ndarray, n: int, reach: float | None = None) -> DataFrame:
+def cells(vectors: DataFrame, pivots: np.ndarray, n: int, reach: float | None = None) -> DataFrame:
+    """``vectors`` with ``cells``: the nearest ``n`` pivots, nearest first, and all within ``reach``."""
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
     at = vectors.columns.index("v")
 
@@ -145,7 +146,7 @@ def lay_out(vectors: DataFrame, rows: int, shard_rows: int = SHARD_ROWS, max_piv
     if not len(x):
         return Layout(np.zeros((1, 1), dtype=np.float32), {}, None)
     pivots = fit(x, k)
-    nearest = _cells(vectors.select("id", "v"), pivots, 1).withColumn("p", F.col("cells")[0])
+    nearest = cells(vectors.select("id", "v"), pivots, 1).withColumn("p", F.col("cells")[0])
     counted = {r.p: r.n for r in nearest.groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most max_pivots rows
     large = [(p, n) for p, n in counted.items() if n > 2 * shard_rows]
     if not large:
@@ -169,12 +170,12 @@ def route(vectors: DataFrame, layout: Layout, probes: int, reach: float | None =
     Of a pivot that is split: the nearest ``probes`` parts of the first, two of the others (and those within reach).
     Under two levels the result is materialised.
     """
-    cells = _cells(vectors, layout.pivots, probes, reach)
+    at = cells(vectors, layout.pivots, probes, reach)
     if layout.split is None:
-        return cells.withColumn("shards", F.transform("cells", lambda p: p * WIDE)).drop("cells")
-    cells = cut(cells)
+        return at.withColumn("shards", F.transform("cells", lambda p: p * WIDE)).drop("cells")
+    at = cut(at)
     known = layout.split.select("p", "salts")
-    flat = cells.select("id", "v", F.posexplode("cells").alias("pos", "p")).join(F.broadcast(known), "p", "left")
+    flat = at.select("id", "v", F.posexplode("cells").alias("pos", "p")).join(F.broadcast(known), "p", "left")
     whole = flat.where("salts is null").select("id", "pos", F.array(F.col("p") * WIDE).alias("s"))
     deep = flat.where("salts is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
     parts = layout.split.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select("p", "salt", "pivots")
@@ -192,15 +193,15 @@ def route(vectors: DataFrame, layout: Layout, probes: int, reach: float | None =
     found = deep.select("p", "salt", "id", "v", "pos").groupBy("p", "salt").cogroup(parts.groupBy("p", "salt")).applyInArrow(choose, "id bigint, pos int, s array<bigint>")
     # at most a few shards a vector
     lists = whole.unionByName(found).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda r: r.s)).alias("shards"))
-    return cut(cells.drop("cells").join(lists, "id"))
+    return cut(at.drop("cells").join(lists, "id"))
 
 
 def every_shard(vectors: DataFrame, layout: Layout) -> DataFrame:
     """``vectors`` once for each shard, in ``shard``: for a query set only."""
-    cells = vectors.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(layout.pivots) - 1).cast("bigint"))))
+    every = vectors.withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(len(layout.pivots) - 1).cast("bigint"))))
     if layout.split is None:
-        return cells.withColumn("shard", F.col("p") * WIDE).drop("p")
-    parts = cells.join(F.broadcast(layout.split.select("p", "parts")), "p", "left")
+        return every.withColumn("shard", F.col("p") * WIDE).drop("p")
+    parts = every.join(F.broadcast(layout.split.select("p", "parts")), "p", "left")
     inner = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("parts")))
     return parts.withColumn("part", F.explode(inner)).withColumn("shard", F.col("p") * WIDE + F.col("part")).drop("p", "parts", "part")
 
