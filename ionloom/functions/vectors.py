@@ -47,6 +47,12 @@ def angular(similarity: Column) -> Column:
     return F.acos(F.least(F.greatest(similarity, F.lit(-1.0)), F.lit(1.0))) / F.lit(math.pi)
 
 
+def embedding_columns(unit_vector: Column, width: int, scale: float) -> Column:
+    """``width`` numbers times ``scale`` and a flag behind them; a missing vector gives zeros and 0."""
+    known = F.concat(F.transform(unit_vector, lambda x: x * scale), F.array(F.lit(1.0)))
+    return F.coalesce(known, F.array_repeat(F.lit(0.0), width + 1))
+
+
 def sigmoid(v: Column, scale: float = 1.0) -> Column:
     return F.transform(v, lambda x: 1.0 / (1.0 + F.exp(-scale * x)))
 

@@ -22,3 +22,10 @@ def mark(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` with a flag whether its key stands in ``other``."""
     known = other.select(F.col(key).alias("__k")).where("__k is not null").distinct()
     return df.join(known, F.col(key) == F.col("__k"), "left").withColumn(name, F.col("__k").isNotNull()).drop("__k")
+
+
+def lookup_or_fail(df: DataFrame, dim: DataFrame, key: str, value: str) -> DataFrame:
+    """``df`` with ``value`` by ``key`` from ``dim`` (one row a key); a key that isn't there stops the query and names it."""
+    joined = df.join(dim.select(F.col(key).alias("__k"), F.col(value).alias("__v")), F.col(key) == F.col("__k"), "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {value} for "), F.coalesce(F.col(key).cast("string"), F.lit("a null key"))))
+    return joined.withColumn(value, F.when(F.col("__k").isNull(), missing).otherwise(F.col("__v"))).drop("__k", "__v")

@@ -11,17 +11,21 @@ from ionloom.operators.skew import salted_join
 from ionloom.session import cut
 
 
-def ppm_join(queries: DataFrame, structures: DataFrame, query_mass: str, mass: str, ppm: float = 10.0) -> DataFrame:
+def ppm_join(queries: DataFrame, structures: DataFrame, query_mass: str, mass: str, ppm: float = 10.0, same: tuple[str, str] | None = None) -> DataFrame:
     """Rows of both sides with mass in [M - M*ppm/1e6, M + M*ppm/1e6], M the query's mass, both ends included.
 
     Equi-join on buckets of log mass, a query in every bucket that its window touches, then the exact bounds; a mass
     that holds a large share of the structures is spread over salts. Null, NaN and masses of 0 or less match nothing.
+    ``same``: a column of the queries and one of the structures that must be equal too; it is part of the join's key.
     """
     w = ppm * 1e-6
     bucket = lambda m: F.floor(F.ln(m) / math.log1p(w))
     q = queries.where((F.col(query_mass) > 0) & ~F.isnan(query_mass)).withColumn("__low", F.col(query_mass) - F.col(query_mass) * w).withColumn("__high", F.col(query_mass) + F.col(query_mass) * w)
     q = q.withColumn("__b", F.explode(F.sequence(bucket(F.col("__low")) - 1, bucket(F.col("__high")) + 1)))
     s = structures.where((F.col(mass) > 0) & ~F.isnan(mass)).withColumn("__b", bucket(F.col(mass)))
+    if same:
+        key = lambda c: F.concat_ws("|", F.col("__b").cast("string"), c)
+        q, s = q.where(F.col(same[0]).isNotNull()).withColumn("__b", key(same[0])), s.where(F.col(same[1]).isNotNull()).withColumn("__b", key(same[1]))
     joined = salted_join(s, q, "__b", heavy_share=0.02)
     return joined.where((F.col(mass) >= F.col("__low")) & (F.col(mass) <= F.col("__high"))).drop("__b", "__low", "__high")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionloom.operators.dedupe import keep_first
+from ionloom.operators.ppm import ppm_join
+from ionloom.operators.skew import salted_join
 
 TOP = 25
 
@@ -62,3 +64,55 @@ def comparable(pairs: DataFrame, keys: list[str], exact: Column, fallback: Colum
     flagged = pairs.withColumn("__exact", F.coalesce(exact, F.lit(False))).where(F.col("__exact") | F.coalesce(fallback, F.lit(False)))
     any_exact = F.max("__exact").over(Window.partitionBy(*keys))
     return flagged.withColumn("__any", any_exact).where(F.col("__exact") == F.col("__any")).drop("__exact", "__any")
+
+
+def comparable_setups(asked: DataFrame, spectra: DataFrame, same: str) -> DataFrame:
+    """``asked`` (q, key, adduct, mode, energy, ...) with the ``setup`` of the library spectra that each is compared with.
+
+    Those of the same adduct and energy if the key has any, else those of the same ``same`` ('mode' or 'adduct'). The
+    choice is made on the distinct setups of a key, a few rows, never on its spectra. Library rows are marked by
+    :func:`setup_of`.
+    """
+    setups = spectra.select("key", "o_adduct", "o_mode", "o_energy", setup_of().alias("setup")).distinct()
+    pairs = salted_join(asked, setups, "key")
+    exact = (F.col("adduct") == F.col("o_adduct")) & (F.col("energy") == F.col("o_energy"))
+    return comparable(pairs, ["q", "key"], exact, F.col(same) == F.col("o_" + same)).drop("o_adduct", "o_mode", "o_energy")
+
+
+def setup_of() -> Column:
+    """The key, adduct, mode and energy of a library spectrum as one join key."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("?")) for c in ("key", "o_adduct", "o_mode", "o_energy")])
+
+
+def rank_library(queries: DataFrame, library: DataFrame, scorers: dict, *, ppm: float = 10.0) -> DataFrame:
+    """(query, key, scorer, score, rank): the library's structures (key, mass, bits) in the mass window of each query (query, mass_q, p), best first.
+
+    Every scorer (p, bits) -> score ranks for itself; of several structures of a key the best counts, ties go to the
+    smaller key. A query without structures in its window has no row. Vectors are dropped once the scores are there.
+    """
+    pairs = ppm_join(queries.select("query", "mass_q", "p"), library.select("key", "mass", "bits"), "mass_q", "mass", ppm)
+    scored = pairs.select("query", "key", F.explode(F.array(*[F.struct(F.lit(n).alias("scorer"), F.round(f(F.col("p"), F.col("bits")), 9).alias("score")) for n, f in scorers.items()])).alias("s")).select("query", "key", "s.*")
+    best = scored.groupBy("query", "key", "scorer").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query", "scorer").orderBy(F.desc("score"), "key")).cast("bigint"))
+
+
+def rank_queries(queries: DataFrame, library: DataFrame, scorers: dict, *, ppm: float = 10.0) -> DataFrame:
+    """``queries`` (query, true_key, mass_q, p, ...) with rank_<scorer> of the true key, NULL if it isn't a candidate, and n_candidates."""
+    ranked = rank_library(queries, library, scorers, ppm=ppm).join(queries.select("query", "true_key"), "query")
+    place = lambda s: F.min(F.when((F.col("scorer") == s) & (F.col("key") == F.col("true_key")), F.col("rank"))).alias(f"rank_{s}")
+    first = next(iter(scorers))
+    found = ranked.groupBy("query").agg(*[place(s) for s in scorers], F.count_if(F.col("scorer") == first).alias("n_candidates"))
+    return queries.drop("p").join(found, "query", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+
+
+def in_batch_metrics(slots: DataFrame, query: str, score: str, is_truth: Column) -> DataFrame:
+    """(queries, ranking_loss, top1, mrr) over the slots of each query: its truth and its decoys; padded slots have no score.
+
+    The rank is one more than the number of decoys that score strictly higher; the loss is that of choosing the truth by
+    softmax, averaged over the queries with a decoy.
+    """
+    truth = F.max(F.when(is_truth, F.col(score)))
+    top = slots.groupBy(query).agg(truth.alias("__t"), F.max(score).alias("__m"), F.count_if(~is_truth & F.col(score).isNotNull()).alias("__d"))
+    per = slots.join(top, query).where("__t is not null").groupBy(query, "__t", "__m", "__d").agg((F.count_if(~is_truth & (F.col(score) > F.col("__t"))) + 1).alias("r"), F.sum(F.exp(F.col(score) - F.col("__m"))).alias("e"))
+    loss = F.when(F.col("__d") > 0, F.col("__m") + F.ln("e") - F.col("__t"))
+    return per.agg(F.count("*").alias("queries"), F.coalesce(F.avg(loss), F.lit(0.0)).alias("ranking_loss"), F.avg((F.col("r") == 1).cast("double")).alias("top1"), F.avg(1 / F.col("r")).alias("mrr"))

@@ -48,15 +48,16 @@ def salted_aggregate(df: DataFrame, key: Column, distinct: Column, value: Column
     return merged.withColumn("is_heavy", F.col("is_heavy") & F.col("key").isNotNull())
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, *, how: str = "inner", heavy_share: float = 0.01, salts: int = 32) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, *, how: str = "inner", heavy_share: float = 0.01, salts: int = 32, sample: DataFrame | None = None) -> DataFrame:
     """Equi-join on ``key`` in which a hot key of ``left`` is spread over ``salts`` reducers.
 
     ``right`` repeats only the rows of the hot keys (at most 1/heavy_share keys). Null keys never match; with
-    how="left" their rows stay.
+    how="left" their rows stay. ``sample``: rows of the left side to find the hot keys in, where counting all would cost
+    as much as the join; that changes where rows go, never which come out.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"how={how}: a salted join keeps rows of the left side only once")
-    hot = heavy_keys(left, F.col(key), heavy_share).select(F.col("key").alias("__hot"))
+    hot = heavy_keys(left if sample is None else sample, F.col(key), heavy_share).select(F.col("key").alias("__hot"))
     spread = left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("__hot")
     wide = right.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
     return spread.join(wide, [key, "__salt"], how).drop("__salt")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +42,18 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return average_ranks(cut(average_ranks(both, a, "__ra")), b, "__rb").agg(F.corr("__ra", "__rb").alias("spearman"), F.count("*").alias("n"))
 
 
-def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, *by: str) -> DataFrame:
-    """(by, bin, n): values in [low, high) by equal widths; others are left out."""
+def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int, *by: str, log: bool = False) -> DataFrame:
+    """(by, bin, n): values in [low, high) by equal widths (``log``: equal ratios; ``low`` above 0); others are left out."""
     kept = df.withColumn("__x", value).where((F.col("__x") >= low) & (F.col("__x") < high))
-    return kept.withColumn("bin", F.least(F.floor((F.col("__x") - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("bigint")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    place = F.ln(F.col("__x") / low) / (math.log(high / low) / bins) if log else (F.col("__x") - low) / ((high - low) / bins)
+    return kept.withColumn("bin", F.least(F.floor(place), F.lit(bins - 1)).cast("bigint")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+
+
+def densities(counts: DataFrame, low: float, high: float, bins: int, *by: str) -> DataFrame:
+    """Counts of :func:`histogram` with ``density``: the share of a group's values over the width of the bin."""
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__t")) if by else counts.agg(F.sum("n").alias("__t"))
+    joined = counts.join(total, list(by)) if by else counts.join(F.broadcast(total))
+    return joined.withColumn("density", F.col("n") / F.col("__t") / ((high - low) / bins)).drop("__t")
 
 
 def pairs_within(df: DataFrame, group: str, ident: str, cap: int, order: Column) -> DataFrame:
@@ -53,9 +64,73 @@ def pairs_within(df: DataFrame, group: str, ident: str, cap: int, order: Column)
 
 
 def mean_vector(df: DataFrame, vector: str, *by: str) -> DataFrame:
-    """(by, dim, mean): the element-wise mean of vectors; null vectors count nowhere."""
-    long = df.where(F.col(vector).isNotNull()).select(*by, F.posexplode(vector).alias("dim", "__x"))
-    return long.groupBy(*by, "dim").agg(F.avg("__x").alias("mean"))
+    """(by, dim, mean): the element-wise mean of vectors; null vectors count nowhere.
+
+    Vectors are added up in Arrow batches (without ``by``, in whole tasks) before one row a number is made of the sums.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(*by, F.col(vector).cast("array<double>").alias("__v"))
+    kinds = dict(rows.dtypes)
+
+    def partial(batches):
+        n, s = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = np.asarray(b.column(len(by)).flatten().to_numpy(zero_copy_only=False), dtype=float)
+            x = flat.reshape(b.num_rows, -1)
+            if not by:
+                n, s = n + len(x), x.sum(axis=0) + (0 if s is None else s)
+                continue
+            code = pa.Table.from_batches([b]).select(list(by)).to_pandas().groupby(list(by), sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            _, start, count = np.unique(code[order], return_index=True, return_counts=True)
+            sums = np.add.reduceat(x[order], start, axis=0)
+            first = pa.array(order[start])
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(first) for i in range(len(by))], pa.array(count.astype(np.int64)), _lists(sums)], names=[*by, "__n", "__s"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], type=pa.int64()), _lists(s[None])], names=["__n", "__s"])
+
+    parts = rows.mapInArrow(partial, "".join(f"`{c}` {kinds[c]}, " for c in by) + "__n bigint, __s array<double>")
+    long = parts.select(*by, "__n", F.posexplode("__s").alias("dim", "__x"))
+    return long.groupBy(*by, "dim").agg((F.sum("__x") / F.sum("__n")).alias("mean"))
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by, n, <names of shares>): exact quantiles with linear interpolation between neighbours; null and NaN values count nowhere.
+
+    Counts per distinct value are summed up over 1,024 ranges of values a group first, so no task sorts or holds a group.
+    """
+    keys = list(by) or ["__all"]
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__v", F.col(value).cast("double"))
+    rows = rows if by else rows.withColumn("__all", F.lit(0))
+    safe = [F.col(k).eqNullSafe(F.col("__s." + k)) for k in keys]
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    spans = counts.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("n")).select(F.struct(*keys).alias("__s"), "__low", "__high", "n")
+    width = (F.col("__high") - F.col("__low")) / 1024
+    celled = counts.join(spans, _all(safe)).drop("__s").withColumn("__cell", F.when(width > 0, F.floor((F.col("__v") - F.col("__low")) / width)).otherwise(F.lit(0)))
+    cells = celled.groupBy(*keys, "__cell").agg(F.sum("__n").alias("__c"))
+    before = cells.select(F.struct(*keys).alias("__s"), F.col("__cell").alias("__k"), (F.sum("__c").over(Window.partitionBy(*keys).orderBy("__cell")) - F.col("__c")).alias("__before"))
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__cell").orderBy("__v"))
+    ranked = celled.join(before, _all([*safe, F.col("__cell") == F.col("__k")])).drop("__s", "__k").withColumn("__upto", upto)
+    at = lambda rank: F.max(F.when((F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto")), F.col("__v")))
+    found = []
+    for name, q in shares.items():
+        place = (F.col("n") - 1) * F.lit(float(q))
+        found += [at(F.floor(place)).alias("__lo_" + name), at(F.ceil(place)).alias("__hi_" + name)]
+    out = ranked.groupBy(*keys, "n").agg(*found)
+    linear = lambda name, q: (F.col("__lo_" + name) + (F.col("__hi_" + name) - F.col("__lo_" + name)) * ((F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q))))).alias(name)
+    return out.select(*by, "n", *[linear(name, q) for name, q in shares.items()])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, int]:

@@ -27,6 +27,8 @@ _NUMBER = re.compile(r"\d+(?:[.,]\d+)*(?:e[+-]?\d+)?", re.I)
 #: What may stand between a number and the unit that follows a whole list of numbers.
 _LIST_GAP = re.compile(r"[\s,;/+&|-]*(?:(?:to|and|bis|then)\b[\s,;/+&|-]*)?$")
 _LONE_COMMA = re.compile(r"(\d+),(\d+)")
+#: Words that a number may follow without a blank ("HCD30"); after any other letters it's part of a name ("MS2").
+_GLUED = re.compile(r"(?:^|[^a-z])(?:hcd|cid|etd|ecd|ethcd|uvpd|ce|energy|voltage)$")
 
 
 class AliasAutomaton:
@@ -57,7 +59,7 @@ class AliasAutomaton:
                 todo.append(to)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """Leftmost-longest matches that don't overlap and don't cut a word: (start, end, name)."""
+        """Leftmost-longest matches that don't overlap and don't cut a word: (start, end, name). A number may follow one of two letters or more."""
         found, at = [], 0
         for i, ch in enumerate(text):
             while at and ch not in self.step[at]:
@@ -67,7 +69,7 @@ class AliasAutomaton:
                 start, end = i + 1 - size, i + 1
                 if text[start].isalpha() and start and (text[start - 1].isalpha() or text[start - 1] == "_"):
                     continue
-                if text[end - 1].isalnum() and end < len(text) and (text[end].isalnum() or text[end] == "_"):
+                if text[end - 1].isalnum() and end < len(text) and (text[end].isalnum() or text[end] == "_") and not (text[end].isdigit() and size > 1):
                     continue
                 found.append((start, end, name))
         found.sort(key=lambda s: (s[0], -s[1]))
@@ -87,9 +89,12 @@ def _values(token: str) -> list[float]:
     """The numbers in a run of digits, points and commas.
 
     One comma is a decimal mark if no point is there and it is followed by a single digit or only zeros, or if it
-    follows a leading 0; several commas, or one before a whole second number, separate a list.
+    follows a leading 0; one before exactly three zeros parts thousands; several commas, or one before a whole second
+    number, separate a list.
     """
     lone = _LONE_COMMA.fullmatch(token)
+    if lone and lone[2] == "000" and lone[1] != "0":
+        return [float(lone[1] + lone[2])]
     if lone and (len(lone[2]) == 1 or not lone[2].strip("0") or lone[1] == "0"):
         return [float(f"{lone[1]}.{lone[2]}")]
     return [float(x.rstrip(".")) for x in re.split(",", token) if re.fullmatch(r"\d+(?:\.\d+)?(?:e[+-]?\d+)?", x, re.I)]
@@ -109,7 +114,8 @@ def stated_quantities(text: str | None, bare_unit: str | None, automaton: AliasA
     for start, end, _ in spans:
         masked[start:end] = "\0" * (end - start)
     plain = "".join(masked)
-    numbers = [m for m in _NUMBER.finditer(plain) if not (m.start() and (plain[m.start() - 1].isalpha() or plain[m.start() - 1] == "_") )]
+    named = lambda at: at and (plain[at - 1].isalpha() or plain[at - 1] == "_") and not _GLUED.search(plain[:at])
+    numbers = [m for m in _NUMBER.finditer(plain) if not named(m.start())]
     out: list[tuple[float, str | None]] = []
     for i, m in enumerate(numbers):
         unit, end = None, m.end()
@@ -199,3 +205,9 @@ def incomplete_energies(spectra: DataFrame, libraries: DataFrame, units: DataFra
     per_row = ev.where(F.col("ev").isNotNull()).groupBy(F.col("row_id.row_id").alias("id")).agg(F.collect_set(tenths(F.col("ev"))).alias("stated"), F.min(F.col("row_id.have")).alias("have"))
     differs = (F.size(F.array_except("stated", "have")) > 0) | (F.size(F.array_except("have", "stated")) > 0)
     return per_row.where(differs).select(F.col("id").alias("row_id"), F.explode("stated").alias("ev_tenths"))
+
+
+def energy_setting(ev: DataFrame) -> DataFrame:
+    """(row_id, energy): the stated energies of a row in whole eV, in order, joined by commas; rows without any are left out."""
+    whole = F.floor(F.col("ev") + F.lit(0.5)).cast("bigint")
+    return ev.where("ev is not null").groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set(whole)).cast("array<string>"), ",").alias("energy"))

@@ -12,6 +12,7 @@ from ionloom.operators import sampling as P
 from ionloom.operators.dedupe import keep_first, mark
 from ionloom.operators.ppm import adaptive_window, mass_chunks, ppm_error, ppm_join, window_sizes
 from ionloom.operators.skew import salted_join
+from ionloom.operators.stats import quantiles
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, NEUTRAL, structures, train
 from ionloom.plans.registry import Registry
 from ionloom.tables import load
@@ -230,7 +231,8 @@ def mrr_by_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Recall, window sizes and ranking measures per source of candidates."""
     ranked = ranked_candidates(spark, folder, "source").join(true_keys(spark, folder), "molecule_id")
     ranks = ranked.groupBy("source", "molecule_id").agg(F.min(F.when(F.col("key") == F.col("true_key"), F.col("rank"))).alias("rank"), F.count("*").alias("n_candidates"))
-    sizes = ranks.groupBy("source").agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("recall"), F.median("n_candidates").alias("median_candidates"), F.percentile("n_candidates", 0.9).alias("p90_candidates"), F.max("n_candidates").alias("max_candidates"))
+    sizes = ranks.groupBy("source").agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("recall"), F.max("n_candidates").alias("max_candidates"))
+    sizes = sizes.join(quantiles(ranks, "n_candidates", {"median_candidates": 0.5, "p90_candidates": 0.9}, "source").drop("n"), "source")
     return _rounded(sizes.join(R.rank_metrics(ranks, "source"), "source"))
 
 

@@ -26,13 +26,14 @@ def _energy_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return load(spark, folder, "train"), load(spark, folder, "libraries"), load(spark, folder, "energy_units")
 
 
-#: Every number of the text, with the unit beside it, by patterns of its own.
-_ENERGY_SQL = r"""
-WITH t AS (
-  SELECT row_id, precursor_mz, collision_energy_ev, lower(regexp_replace(collision_energy_orig, '[‐‑‒–—−]', '-', 'g')) AS x,
-         replace(lower(trim(ingest_lib)), '_', '-') AS lib
-  FROM train WHERE regexp_matches(collision_energy_orig, '[0-9]')
-), u AS (
+def energy_cte(p: str = "", table: str = "train", ident: str = "row_id", have: str = "collision_energy_ev", lib: str = "replace(lower(trim(ingest_lib)), '_', '-')", bare: str = "l.bare_energy_unit") -> str:
+    """CTEs ending in <p>e: every number of the text, with the unit beside it, by patterns of its own."""
+    return rf"""
+{p}t AS (
+  SELECT {ident} AS row_id, precursor_mz, {have} AS collision_energy_ev, lower(regexp_replace(collision_energy_orig, '[‐‑‒–—−]', '-', 'g')) AS x,
+         {lib} AS lib
+  FROM {table} WHERE regexp_matches(collision_energy_orig, '[0-9]')
+), {p}u AS (
   SELECT t.*, CASE
       WHEN regexp_matches(x, 'kj[ ./]') THEN 'kj_per_mol'
       WHEN regexp_matches(x, 'kcal[ ./]') THEN 'kcal_per_mol'
@@ -41,19 +42,22 @@ WITH t AS (
       WHEN regexp_matches(x, 'nce|%|normali[sz]ed') THEN 'nce'
       WHEN regexp_matches(x, 'ev\b|electron') THEN 'ev'
       WHEN regexp_matches(x, '[0-9] ?v(olts?)?\b') THEN 'v'
-      ELSE l.bare_energy_unit END AS unit
-  FROM t LEFT JOIN libraries l ON t.lib = l.ingest_lib
-), n AS (
+      ELSE {bare} END AS unit
+  FROM {p}t t LEFT JOIN libraries l ON t.lib = l.ingest_lib
+), {p}n AS (
   SELECT row_id, precursor_mz, collision_energy_ev, unit,
          unnest(regexp_extract_all(regexp_replace(regexp_replace(x, 'mol-1', 'mol', 'g'), '^([^0-9]*[0-9]+),([0-9])( |$)', '\1.\2 '), '[0-9]+(\.[0-9]+)?'))::DOUBLE AS v
-  FROM u
-), e AS (
+  FROM {p}u
+), {p}e AS (
   SELECT row_id, collision_energy_ev, v, n.unit,
          v * ev_per_unit * CASE WHEN scales_with_mz THEN precursor_mz / 500.0 ELSE 1.0 END AS ev
-  FROM n LEFT JOIN energy_units f ON n.unit = f.unit
+  FROM {p}n n LEFT JOIN energy_units f ON n.unit = f.unit
 )"""
 
 
+_ENERGY_SQL = "WITH" + energy_cte()
+
+
 @registry.query(
     _ENERGY_SQL
     + """, s AS (

@@ -14,16 +14,18 @@ from ionloom.functions.metadata import ADDUCTS
 from ionloom.functions.metadata import neutral_mass as neutral
 from ionloom.operators import ranking as R
 from ionloom.operators import stats
-from ionloom.operators.ppm import ppm_join
+from ionloom.operators.ppm import ppm_join, with_position
 from ionloom.operators.sampling import hash_order
 from ionloom.operators.skew import salted_join
+from ionloom.operators.units import energies_in_ev, energy_setting
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL, PEAKS, UNIT, embeddings, structures, test_spectra, train_spectra
+from ionloom.plans.problems import energy_cte
 from ionloom.plans.registry import Registry
 from ionloom.tables import load
 
 registry = Registry()
-#: Members of a group that are paired: part of the definition, so that pairs don't grow with the square of a group.
-PAIR_CAP = 20
+#: Members of a molecule that are paired: part of these analyses' definition (a hundred spectra a molecule), so that pairs don't grow with the square of a group.
+PAIR_CAP = 100
 
 
 def keyed_embeddings(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,9 +103,10 @@ def fingerprint_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _probabilities(spark, folder).select("a", "b", *[F.round(f(F.col("p"), F.col("bits")), digits.get(name, 6)).alias(name) for name, f in V.SCORERS.items()])
 
 
-@registry.query(f"WITH {_PAIRS}, {_SCORED} SELECT a, round(any_value(list_sum(list_transform(p, lambda x: -x * log2(x + 1e-10) - (1 - x) * log2(1 - x + 1e-10))) / 128), 6) AS entropy FROM sc GROUP BY a")
+@registry.query(f"WITH {_KEYED}, p AS (SELECT row_id, {_PROB.replace('ua', 'u')} AS p FROM ke) SELECT row_id, round(list_sum(list_transform(p, lambda x: -x * log2(x + 1e-10) - (1 - x) * log2(1 - x + 1e-10))) / 128, 6) AS entropy FROM p")
 def bit_entropy(spark: SparkSession, folder: str) -> DataFrame:
-    return _probabilities(spark, folder).groupBy("a").agg(F.round(F.max(V.mean_entropy(F.col("p"))), 6).alias("entropy"))
+    """The mean entropy of every spectrum's probabilities."""
+    return keyed_embeddings(spark, folder).select("row_id", F.round(V.mean_entropy(V.sigmoid(F.col("u"), 8.0)), 6).alias("entropy"))
 
 
 _WORDS = "[" + ", ".join(f"list_reduce(list_transform({{v}}[{32 * w + 1}:{32 * w + 32}], lambda x: CASE WHEN x > 0 THEN 1::BIGINT ELSE 0::BIGINT END), lambda s, x: s * 2 + x)" for w in range(4)) + "]"
@@ -144,10 +147,13 @@ def constant_bits_baseline(spark: SparkSession, folder: str) -> DataFrame:
 # --- peak scores and library search ----------------------------------------------------------------------------------
 
 _UNIT_PEAKS = f"list_transform(list_filter({PEAKS}, lambda x: x.i >= 0.01 AND x.mz < precursor_mz - 1.5), lambda x: {{{{'mz': x.mz, 'i': sqrt(x.i)}}}})".replace("{{", "{").replace("}}", "}")
+#: Settings in whole eV, by the unit operator on both sides; a test spectrum's bare number is in eV.
+ENERGY_SETTING = "(SELECT row_id, array_to_string(list_sort(list(DISTINCT floor(ev + 0.5)::BIGINT)), ',') AS energy FROM {p}e WHERE ev IS NOT NULL GROUP BY row_id)"
 _SPECTRA_SQL = f"""
-sp0 AS (SELECT 't' || row_id AS id, {CLEAN_KEY} AS key, adduct, ionization_mode AS mode, precursor_mz, coalesce(array_to_string(list_transform(collision_energy_ev, lambda e: trunc(e)::INT::VARCHAR), ','), 'unknown') AS energy, {_UNIT_PEAKS} AS p FROM train WHERE ms2_mzs IS NOT NULL),
+{energy_cte('l')}, {energy_cte('q', 'test', 'spectrum_id', 'NULL', 'NULL', "'ev'")}, les AS {ENERGY_SETTING.format(p='l')}, qes AS {ENERGY_SETTING.format(p='q')},
+sp0 AS (SELECT 't' || row_id AS id, {CLEAN_KEY} AS key, adduct, ionization_mode AS mode, precursor_mz, coalesce(energy, 'unknown') AS energy, {_UNIT_PEAKS} AS p FROM train LEFT JOIN les USING (row_id) WHERE ms2_mzs IS NOT NULL),
 sp AS (SELECT id, key, adduct, mode, precursor_mz, energy, CASE WHEN n > 0 THEN list_transform(p, lambda x: {{'mz': x.mz, 'i': x.i / n}}) ELSE p END AS p FROM (SELECT *, sqrt(coalesce(list_sum(list_transform(p, lambda x: x.i * x.i)), 0)) AS n FROM sp0)),
-te0 AS (SELECT spectrum_id AS id, molecule_id, adduct, ionization_mode AS mode, precursor_mz, coalesce(collision_energy_orig, 'unknown') AS energy, {_UNIT_PEAKS} AS p FROM test WHERE ms2_mzs IS NOT NULL),
+te0 AS (SELECT spectrum_id AS id, molecule_id, adduct, ionization_mode AS mode, precursor_mz, coalesce(energy, 'unknown') AS energy, {_UNIT_PEAKS} AS p FROM test LEFT JOIN qes ON spectrum_id = row_id WHERE ms2_mzs IS NOT NULL),
 te AS (SELECT id, molecule_id, adduct, mode, precursor_mz, energy, CASE WHEN n > 0 THEN list_transform(p, lambda x: {{'mz': x.mz, 'i': x.i / n}}) ELSE p END AS p FROM (SELECT *, sqrt(coalesce(list_sum(list_transform(p, lambda x: x.i * x.i)), 0)) AS n FROM te0))"""
 
 
@@ -159,14 +165,25 @@ mt AS (SELECT pp.q, pp.o, a.mz, a.i, b.i AS bi, row_number() OVER (PARTITION BY
 cs AS (SELECT q, o, least(1.0, sum(i * bi)) AS cosine FROM mt WHERE r = 1 GROUP BY q, o)"""
 
 
+def library_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, energy): the stated energies of the training spectra in whole eV."""
+    return energy_setting(energies_in_ev(load(spark, folder, "train"), load(spark, folder, "libraries"), load(spark, folder, "energy_units")))
+
+
+def query_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, energy) of the test spectra, row_id being their spectrum_id; a bare number is in eV."""
+    t = load(spark, folder, "test", F.col("spectrum_id").alias("row_id"), "collision_energy_orig", "precursor_mz", F.lit("test").alias("ingest_lib"))
+    bare = spark.createDataFrame([("test", "ev")], "ingest_lib string, bare_energy_unit string")
+    return energy_setting(energies_in_ev(t, bare, load(spark, folder, "energy_units")))
+
+
 def library_spectra(spark: SparkSession, folder: str) -> DataFrame:
-    t = train_spectra(spark, folder).where("p is not null")
-    energy = F.coalesce(F.array_join(F.transform("energies", lambda e: e.cast("int").cast("string")), ","), F.lit("unknown"))
-    return t.select(F.concat(F.lit("t"), F.col("row_id").cast("string")).alias("o"), "key", F.col("adduct").alias("o_adduct"), F.col("mode").alias("o_mode"), F.col("precursor_mz").alias("o_mz"), energy.alias("o_energy"), S.unit_peaks(F.col("p"), F.col("precursor_mz")).alias("o_p"))
+    t = train_spectra(spark, folder).where("p is not null").join(library_settings(spark, folder), "row_id", "left")
+    return t.select(F.concat(F.lit("t"), F.col("row_id").cast("string")).alias("o"), "key", F.col("adduct").alias("o_adduct"), F.col("mode").alias("o_mode"), F.col("precursor_mz").alias("o_mz"), F.coalesce("energy", F.lit("unknown")).alias("o_energy"), S.unit_peaks(F.col("p"), F.col("precursor_mz")).alias("o_p"))
 
 
 def query_spectra(spark: SparkSession, folder: str) -> DataFrame:
-    t = test_spectra(spark, folder).where("p is not null")
+    t = test_spectra(spark, folder).where("p is not null").drop("energy").join(query_settings(spark, folder).withColumnRenamed("row_id", "spectrum_id"), "spectrum_id", "left")
     return t.select(F.col("spectrum_id").alias("q"), "molecule_id", "adduct", "mode", "precursor_mz", F.coalesce("energy", F.lit("unknown")).alias("energy"), S.unit_peaks(F.col("p"), F.col("precursor_mz")).alias("p"))
 
 
@@ -176,7 +193,7 @@ WITH {_SPECTRA_SQL}, pp AS (SELECT te.id AS q, sp.id AS o FROM te JOIN sp ON te.
 SELECT pp.q AS spectrum_id, pp.o AS library_id, round(coalesce(cosine, 0), 6) AS cosine FROM pp LEFT JOIN cs USING (q, o)""")
 def peak_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of every test spectrum with the training spectra of its adduct and precursor mass (10 ppm)."""
-    pairs = ppm_join(query_spectra(spark, folder), library_spectra(spark, folder), "precursor_mz", "o_mz", 10.0).where("adduct = o_adduct")
+    pairs = ppm_join(query_spectra(spark, folder), library_spectra(spark, folder), "precursor_mz", "o_mz", 10.0, same=("adduct", "o_adduct"))
     return pairs.select(F.col("q").alias("spectrum_id"), F.col("o").alias("library_id"), F.round(S.peak_cosine(F.col("p"), F.col("o_p")), 6).alias("cosine"))
 
 
@@ -187,12 +204,10 @@ def _search(spark: SparkSession, folder: str, rule: str) -> DataFrame:
     found = structures(spark, folder).where("key is not null").groupBy("key").agg(F.min("mass").alias("mass"))
     window = ppm_join(masses, found, "m", "mass", 10.0).select("molecule_id", "key", (F.abs(F.col("mass") - F.col("m")) / F.col("m") * 1e6).alias("err"))
     spectra = library_spectra(spark, folder).where("key is not null")
-    # queries x candidates first, peaks of candidates' spectra only; a molecule with many spectra is spread over salts
-    asked = window.join(queries, "molecule_id")
-    pairs = salted_join(spectra, asked, "key")
-    same = {"polarity": F.col("mode") == F.col("o_mode"), "adduct": F.col("adduct") == F.col("o_adduct")}[rule]
-    exact = (F.col("adduct") == F.col("o_adduct")) & (F.col("energy") == F.col("o_energy"))
-    kept = R.comparable(pairs.where(exact | same), ["q", "key"], exact, same)
+    # what is compared is decided on setups; then only the spectra of those carry their peaks, a molecule with many spectra over salts
+    asked = window.join(queries.select("molecule_id", "q", "adduct", "mode", "energy"), "molecule_id").select("molecule_id", "q", "key", "adduct", "mode", "energy")
+    chosen = R.comparable_setups(asked, spectra, {"polarity": "mode", "adduct": "adduct"}[rule]).select("molecule_id", "q", "key", "setup")
+    kept = salted_join(spectra.select(R.setup_of().alias("setup"), "o_p"), chosen.join(queries.select("q", "p"), "q"), "setup")
     scored = kept.select("molecule_id", "q", "key", S.peak_cosine(F.col("p"), F.col("o_p")).alias("score"))
     mean = R.mean_of_max(scored, queries, "molecule_id", "q", "key", "score").join(window, ["molecule_id", "key"])
     order = (F.desc(F.round("score", 9)), F.col("err"), F.col("key"))
@@ -223,13 +238,6 @@ def library_search_adduct_fallback(spark: SparkSession, folder: str) -> DataFram
     return _search(spark, folder, "adduct")
 
 
-@registry.query()
-def library_search_scenarios(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per comparison rule: molecules answered, mean of the best score, mean number of answers."""
-    parts = [_search(spark, folder, rule).groupBy("molecule_id").agg(F.max("score").alias("best"), F.count("*").alias("answers")).select(F.lit(rule).alias("comparison"), "best", "answers") for rule in ("polarity", "adduct")]
-    return parts[0].unionByName(parts[1]).groupBy("comparison").agg(F.count("*").alias("molecules"), F.round(F.avg("best"), 5).alias("mean_best"), F.round(F.avg("answers"), 5).alias("mean_answers"))
-
-
 @registry.query(f"""
 WITH {_PAIRS}, {_SPECTRA_SQL}, pp AS (SELECT 't' || a AS q, 't' || b AS o, a, b, {_DOT} AS dot FROM pv), {_cosine_sql('pp', 'sp', 'sp')}
 SELECT a, b, round(0.5 * (coalesce(cosine, 0) + greatest(dot, 0.0)), 6) AS hybrid FROM pp LEFT JOIN cs USING (q, o)""")
@@ -271,15 +279,16 @@ _ANGLES = f"ag AS (SELECT key, a, b, adduct_a, adduct_b, {_GROUPED} AS relation,
 
 @registry.query(f"WITH {_PAIRS}, {_ANGLES} SELECT relation, count(*) AS n, round(quantile_cont(angle, 0.25), 6) AS q1, round(median(angle), 6) AS mid, round(quantile_cont(angle, 0.75), 6) AS q3 FROM ag GROUP BY relation")
 def pair_angles_by_group(spark: SparkSession, folder: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile("angle", p), 6)
-    return pair_angles(spark, folder).groupBy("relation").agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("mid"), q(0.75).alias("q3"))
+    found = stats.quantiles(pair_angles(spark, folder), "angle", {"q1": 0.25, "mid": 0.5, "q3": 0.75}, "relation")
+    return found.select("relation", "n", *[F.round(c, 6).alias(c) for c in ("q1", "mid", "q3")])
 
 
 @registry.query(f"WITH {_PAIRS}, {_ANGLES} SELECT least(adduct_a, adduct_b) AS first, greatest(adduct_a, adduct_b) AS second, count(*) AS n, CASE WHEN count(*) >= 50 THEN round(median(angle), 6) END AS mid FROM ag WHERE adduct_a IS NOT NULL AND adduct_b IS NOT NULL GROUP BY 1, 2")
 def adduct_pair_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Median angle per unordered pair of adducts; cells of under 50 pairs stay empty."""
     known = pair_angles(spark, folder).where("adduct_a is not null and adduct_b is not null")
-    return known.groupBy(F.least("adduct_a", "adduct_b").alias("first"), F.greatest("adduct_a", "adduct_b").alias("second")).agg(F.count("*").alias("n"), F.when(F.count("*") >= 50, F.round(F.median("angle"), 6)).alias("mid"))
+    cells = known.select(F.least("adduct_a", "adduct_b").alias("first"), F.greatest("adduct_a", "adduct_b").alias("second"), "angle")
+    return stats.quantiles(cells, "angle", {"mid": 0.5}, "first", "second").withColumn("mid", F.when(F.col("n") >= 50, F.round("mid", 6)))
 
 
 @registry.query(f"WITH {_PAIRS}, {_ANGLES} SELECT relation, least(floor(angle / 0.05)::BIGINT, 19) AS bin, count(*) AS n FROM ag WHERE angle >= 0 AND angle < 1 GROUP BY 1, 2")
@@ -288,22 +297,27 @@ def histogram_angles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _random_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row with the next one in hash order: pairs of different molecules, as many as rows."""
-    k = keyed_embeddings(spark, folder).where("key is not null").withColumn("h", F.md5(F.concat(F.lit("0|"), F.col("row_id").cast("string"))))
-    # neighbours within ranges of the hash, so no task orders all rows
-    w = Window.partitionBy(F.substring("h", 1, 1)).orderBy("h", "row_id")
-    both = k.select("row_id", "key", "u", F.lead("row_id").over(w).alias("b"), F.lead("key").over(w).alias("key_b"), F.lead("u").over(w).alias("ub"))
-    return both.where("b is not null and key <> key_b").select(F.col("row_id").alias("a"), "b", V.dot(F.col("u"), F.col("ub")).alias("dot"))
+    """Every row with the next one in hash order, where that is of another molecule: as many pairs as rows."""
+    k = keyed_embeddings(spark, folder).where("key is not null").select("row_id", "key", "mode", "u")
+    order = with_position(k.select("row_id", "key", "mode", hash_order(0, F.col("row_id")).alias("h")), "h", "row_id")
+    after = order.select(F.col("row_id").alias("b"), F.col("key").alias("key_b"), F.col("mode").alias("mode_b"), (F.col("position") - 1).alias("position"))
+    ids = order.select(F.col("row_id").alias("a"), "key", "mode", "position").join(after, "position").where("key <> key_b")
+    vector = lambda s: k.select(F.col("row_id").alias(s), F.col("u").alias("u" + s))
+    return ids.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", F.col("mode").eqNullSafe(F.col("mode_b")).alias("same_mode"), V.dot(F.col("ua"), F.col("ub")).alias("dot"))
 
 
-_RANDOM = """rp AS (SELECT a, b, list_dot_product(u, ub) AS dot FROM (SELECT row_id AS a, key, u, lead(row_id) OVER w AS b, lead(key) OVER w AS key_b, lead(u) OVER w AS ub FROM ke WHERE key IS NOT NULL
- WINDOW w AS (PARTITION BY md5('0|' || row_id)[1:1] ORDER BY md5('0|' || row_id), row_id)) WHERE b IS NOT NULL AND key <> key_b)"""
+_RANDOM = """rp AS (SELECT a, b, mode IS NOT DISTINCT FROM mode_b AS same_mode, list_dot_product(u, ub) AS dot FROM (SELECT row_id AS a, key, mode, u, lead(row_id) OVER w AS b, lead(key) OVER w AS key_b, lead(mode) OVER w AS mode_b, lead(u) OVER w AS ub FROM ke WHERE key IS NOT NULL
+ WINDOW w AS (ORDER BY md5('0|' || row_id), row_id)) WHERE b IS NOT NULL AND key <> key_b)"""
 
 
-@registry.query(f"WITH {_KEYED}, {_RANDOM} SELECT count(*) AS n, round(avg(acos(least(greatest(dot, -1.0), 1.0)) / pi()), 6) AS mean_angle, round(median(acos(least(greatest(dot, -1.0), 1.0)) / pi()), 6) AS mid FROM rp")
+@registry.query(f"""WITH {_KEYED}, {_RANDOM}, g AS (SELECT 'all' AS pairs, dot FROM rp UNION ALL SELECT 'same mode', dot FROM rp WHERE same_mode)
+SELECT pairs, count(*) AS n, round(avg(acos(least(greatest(dot, -1.0), 1.0)) / pi()), 6) AS mean_angle, round(median(acos(least(greatest(dot, -1.0), 1.0)) / pi()), 6) AS mid FROM g GROUP BY pairs""")
 def random_pair_angles(spark: SparkSession, folder: str) -> DataFrame:
-    a = _random_pairs(spark, folder).select(V.angular(F.col("dot")).alias("angle"))
-    return a.agg(F.count("*").alias("n"), F.round(F.avg("angle"), 6).alias("mean_angle"), F.round(F.median("angle"), 6).alias("mid"))
+    """Angles of pairs of different molecules: of all, and of those of one ionisation mode."""
+    pairs = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("same_mode"), "same mode")))).alias("pairs")
+    a = _random_pairs(spark, folder).select(pairs, V.angular(F.col("dot")).alias("angle"))
+    mean = a.groupBy("pairs").agg(F.round(F.avg("angle"), 6).alias("mean_angle"))
+    return stats.quantiles(a, "angle", {"mid": 0.5}, "pairs").withColumn("mid", F.round("mid", 6)).join(mean, "pairs")
 
 
 @registry.query(f"""
@@ -329,23 +343,6 @@ def spearman_distances(spark: SparkSession, folder: str) -> DataFrame:
     return stats.spearman(both, "s", "d").select(F.round("spearman", 6).alias("spearman"), "n")
 
 
-@registry.query(f"""
-WITH {_KEYED}, m AS (SELECT inchikey14 AS key, min(exact_mass) AS mass FROM molecules WHERE inchikey14 IS NOT NULL GROUP BY 1),
-g AS (SELECT row_id, key, u, floor(mass * 100 + 0.5)::BIGINT AS isomers, row_number() OVER (PARTITION BY floor(mass * 100 + 0.5)::BIGINT ORDER BY md5('0|' || row_id), row_id) AS r FROM ke JOIN m USING (key) WHERE mass IS NOT NULL),
-h AS (SELECT * FROM g WHERE r <= 100), p AS (SELECT x.row_id, x.key = y.key AS own, list_dot_product(x.u, y.u) AS s FROM h x JOIN h y ON x.isomers = y.isomers AND x.row_id <> y.row_id),
-b AS (SELECT row_id, max(CASE WHEN own THEN s END) AS own, max(CASE WHEN NOT own THEN s END) AS iso, count(*) FILTER (own) AS n_own, count(*) AS n FROM p GROUP BY row_id)
-SELECT count(*) AS n, round(avg((own > iso)::INT), 6) AS own_closest, round(avg(n_own::DOUBLE / n), 6) AS chance FROM b WHERE own IS NOT NULL AND iso IS NOT NULL""")
-def isomer_own_closest(spark: SparkSession, folder: str) -> DataFrame:
-    """How often a spectrum's closest relative among isomers is its own molecule; 100 spectra of each mass, by hash."""
-    m = structures(spark, folder).where("key is not null").groupBy("key").agg(F.min("mass").alias("mass")).where("mass is not null")
-    g = salted_join(keyed_embeddings(spark, folder), m, "key").withColumn("isomers", F.floor(F.col("mass") * 100 + 0.5).cast("bigint"))
-    kept = g.withColumn("r", F.row_number().over(Window.partitionBy("isomers").orderBy(hash_order(0, F.col("row_id")), "row_id"))).where("r <= 100")
-    pairs = kept.select("isomers", F.col("row_id").alias("x"), F.col("key").alias("kx"), F.col("u").alias("ux")).join(kept.select("isomers", F.col("row_id").alias("y"), F.col("key").alias("ky"), F.col("u").alias("uy")), "isomers").where("x <> y")
-    s = pairs.select("x", (F.col("kx") == F.col("ky")).alias("own"), V.dot(F.col("ux"), F.col("uy")).alias("s"))
-    best = s.groupBy("x").agg(F.max(F.when(F.col("own"), F.col("s"))).alias("o"), F.max(F.when(~F.col("own"), F.col("s"))).alias("i"), F.count_if("own").alias("n_own"), F.count("*").alias("n")).where("o is not null and i is not null")
-    return best.agg(F.count("*").alias("n"), F.round(F.avg((F.col("o") > F.col("i")).cast("int")), 6).alias("own_closest"), F.round(F.avg(F.col("n_own") / F.col("n")), 6).alias("chance"))
-
-
 @registry.query(f"""
 WITH {_PAIRS}, b AS (SELECT key, count(*) AS n, avg({_DOT}) AS s FROM pv GROUP BY key), z AS (SELECT key, count(*) AS size FROM ke WHERE key IS NOT NULL GROUP BY key)
 SELECT CASE WHEN size = 1 THEN '1' WHEN size < 5 THEN '2-4' WHEN size < 20 THEN '5-19' ELSE '20+' END AS size_class, count(*) AS molecules, round(avg(s), 6) AS mean_cosine FROM z LEFT JOIN b USING (key) GROUP BY 1""")

@@ -10,6 +10,7 @@ from ionloom.functions import metadata as M
 from ionloom.functions import spectra as S
 from ionloom.functions.chemistry import MONOISOTOPIC, formula_mass
 from ionloom.operators.model import predict
+from ionloom.operators.stats import quantiles
 from ionloom.plans.common import ADDUCT_VALUES, NEUTRAL, PEAKS, test_spectra, train, train_spectra
 from ionloom.plans.registry import Registry
 from ionloom.tables import load
@@ -52,7 +53,8 @@ def profile_numbers(spark: SparkSession, folder: str) -> DataFrame:
     names = ("precursor_mz", "precursor_error_ppm", "num_peaks")
     long = train(spark, folder).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("v")) for c in names])).alias("r")).select("r.*")
     r = lambda c: F.round(c, 4)
-    return long.groupBy("field").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), r(F.min("v")).alias("low"), r(F.median("v")).alias("mid"), r(F.max("v")).alias("high"))
+    rest = long.groupBy("field").agg(F.count("v").alias("n"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), r(F.min("v")).alias("low"), r(F.max("v")).alias("high"))
+    return rest.join(quantiles(long, "v", {"mid": 0.5}, "field").select("field", r("mid").alias("mid")), "field")
 
 
 @registry.query("""
@@ -163,13 +165,13 @@ def unit_spectra(spark: SparkSession, folder: str) -> DataFrame:
 @registry.query(f"""
 WITH p AS (SELECT row_id, precursor_mz, unnest({PEAKS}) AS x FROM train WHERE ms2_mzs IS NOT NULL),
 r AS (SELECT row_id, precursor_mz, x.mz AS mz, x.i AS i, row_number() OVER (PARTITION BY row_id ORDER BY x.i DESC, x.mz) AS k FROM p),
-t AS (SELECT row_id, any_value(precursor_mz) AS pm, max(i) AS top, list({{'mz': mz, 'i': i}} ORDER BY mz, i) AS p FROM r WHERE k <= 10 GROUP BY row_id),
+t AS (SELECT row_id, any_value(precursor_mz) AS pm, max(i) AS top, list({{'mz': mz, 'i': i}} ORDER BY mz, i) AS p FROM r WHERE k <= 100 GROUP BY row_id),
 e AS (SELECT row_id, precursor_mz AS pm FROM train WHERE ms2_mzs IS NOT NULL)
 SELECT e.row_id, list_concat([e.pm], coalesce(list_transform(p, lambda x: x.mz), [])) AS mz, list_concat([1.1::DOUBLE], coalesce(list_transform(p, lambda x: round(x.i / top, 6)), [])) AS i
 FROM e LEFT JOIN t ON e.row_id = t.row_id""")
 def model_input_peaks(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten largest peaks by m/z behind the precursor's own entry."""
-    p = train_spectra(spark, folder).where("p is not null").select("row_id", S.model_peaks(F.col("p"), F.col("precursor_mz"), 10).alias("p"))
+    """The hundred largest peaks by m/z behind the precursor's own entry."""
+    p = train_spectra(spark, folder).where("p is not null").select("row_id", S.model_peaks(F.col("p"), F.col("precursor_mz")).alias("p"))
     return p.select("row_id", F.transform("p", lambda x: x.mz).alias("mz"), F.transform("p", lambda x: F.round(x.i, 6)).alias("i"))
 
 

@@ -26,6 +26,13 @@ AUTOMATON = AliasAutomaton({a: u for u, names in ENERGY_ALIASES.items() for a in
         ("30 % (nominal)", None, [(30, "nce")]),
         ("E_lab=9eV", None, [(9, "ev")]),
         ("12", None, [(12, None)]),
+        ("HCD30 eV", None, [(30, "ev")]),
+        ("CE20eV", None, [(20, "ev")]),
+        ("CID35", "nce", [(35, "nce")]),
+        ("NCE35", None, [(35, "nce")]),
+        ("1,000 V", None, [(1000, "v")]),
+        ("0,000 V", None, [(0, "v")]),
+        ("library v2", "ev", []),
         ("high energy", "ev", []),
         ("MS2 spectrum", "ev", []),
         ("", "ev", []),
