@@ -9,14 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.operators.skew import salted_join
+from ionloom.session import cut
+
 #: Two peaks agree within MZ_TOL of m/z and INT_ABS plus INT_REL of the larger intensity (base peak 1).
 MZ_TOL, INT_ABS, INT_REL = 0.015, 0.002, 0.1
 MIN_PEAKS, MIN_SHARE = 8, 0.75
 #: Bins of the n-gram words. On ln(intensity + INT_ABS / INT_REL), agreeing intensities differ by LOG_TOL at most.
 LOG_TOL = -math.log(1 - INT_REL)
 MZ_BIN, LOG_BIN = 4 * MZ_TOL, 4 * LOG_TOL
-#: Evaluation grams up to this many are broadcast (16 bytes each); beyond it both sides are partitioned by gram.
-MAX_BROADCAST_GRAMS = 200_000
+#: Two peaks may stand in another order in the other spectrum if they are this close.
+CLOSE = 2 * MZ_TOL * (1 + 1e-3)
+#: The rows of a batch stand this far apart on one axis of m/z.
+_STEP = 1e7
+#: One train row in so many (by hash) tells which grams are hot; that only spreads the join.
+HOT_SAMPLE = 16
 
 
 def _offsets(column: pa.ListArray) -> np.ndarray:
@@ -46,37 +53,74 @@ def clean_peaks(mz_lists: pa.ListArray, int_lists: pa.ListArray) -> tuple[np.nda
     return row[order], mz[order], inten[order] / top[row[order]]
 
 
-def peak_grams(row: np.ndarray, mz: np.ndarray, inten: np.ndarray, n: int, probe: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, peaks of the row) of every two neighbouring peaks in rows of MIN_PEAKS peaks or more.
+def _bins(mz: np.ndarray, inten: np.ndarray) -> np.ndarray:
+    """(4, peaks): the lowest and highest bin of m/z, and of log intensity, that an agreeing peak can lie in."""
+    log = np.log(inten + INT_ABS / INT_REL) - math.log(INT_ABS / INT_REL)
+    return np.stack([np.floor((v + s * tol * (1 + 1e-6)) / width).astype(np.int64) for v, tol, width in ((mz, MZ_TOL, MZ_BIN), (log, LOG_TOL, LOG_BIN)) for s in (-1, 1)])
 
-    A word is a peak's bin of m/z and of log intensity. ``probe``: every bin within the tolerance, so that agreeing
-    words always share one.
-    """
-    peaks = np.bincount(row, minlength=n)
-    first = np.flatnonzero((row[1:] == row[:-1]) & (peaks[row[1:]] >= MIN_PEAKS))
-    who = row[first]
+
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    key = np.zeros(len(words[0]), dtype=np.int64)
+    for value, bits in zip(words, (21, 5, 21, 5)):
+        key = (key << bits) | (value & ((1 << bits) - 1))
+    return key
+
+
+def neighbour_grams(row: np.ndarray, mz: np.ndarray, inten: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of every two neighbouring peaks; a peak's word is its bin of m/z and of log intensity."""
     log = np.log(inten + INT_ABS / INT_REL) - math.log(INT_ABS / INT_REL)
-    parts = [(mz[first], MZ_TOL, MZ_BIN, 21), (mz[first + 1], MZ_TOL, MZ_BIN, 21), (log[first], LOG_TOL, LOG_BIN, 5), (log[first + 1], LOG_TOL, LOG_BIN, 5)]
-    at, key = np.arange(len(first)), np.zeros(len(first), dtype=np.int64)
-    for value, tol, width, bits in parts:
-        value = value[at]
-        if probe:
-            low, high = (np.floor((value + s * tol * (1 + 1e-6)) / width).astype(np.int64) for s in (-1, 1))
-            two = np.flatnonzero(high > low)
-            at, key = np.concatenate([at, at[two]]), np.concatenate([key, key[two]])
-            bins = np.concatenate([low, high[two]])
-        else:
-            bins = np.floor(value / width).astype(np.int64)
-        key = (key << bits) | (bins & ((1 << bits) - 1))
-    return who[at], key, peaks[who[at]]
+    a, b = np.floor(mz / MZ_BIN).astype(np.int64), np.floor(log / LOG_BIN).astype(np.int64)
+    i = np.flatnonzero(row[1:] == row[:-1])
+    return row[i], _key([a[i], b[i], a[i + 1], b[i + 1]])
+
+
+def probe_grams(row: np.ndarray, mz: np.ndarray, inten: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of every two peaks that may be neighbours in another spectrum, by every bin within the tolerance.
+
+    Peaks can only change their order if they are CLOSE. So neighbours there are here: two peaks between which, unpaired
+    peaks aside, all are CLOSE above the first or CLOSE below the second; and, either way round, any two CLOSE ones.
+    A run of peaks of the same bins gives the same grams, so one stands for it, with itself as a neighbour.
+    """
+    bins = _bins(mz, inten)
+    same = (row[1:] == row[:-1]) & (bins[:, 1:] == bins[:, :-1]).all(axis=0)
+    first = np.concatenate([[True], ~same])[: len(row)]
+    twice = np.flatnonzero(first & np.concatenate([same, [False]])[: len(row)])
+    row, mz, bins, twice = row[first], mz[first], bins[:, first], (np.cumsum(first) - 1)[twice]
+    left, right = [twice], [twice]
+    n = len(row)
+    p = np.arange(n - 1)
+    line = np.minimum(mz, 0.9 * _STEP) + row * _STEP  # all rows' peaks on one axis
+    lag = 1
+    while len(p):
+        p = p[p + lag < n]
+        p = p[row[p] == row[p + lag]]
+        near = mz[p + lag] - mz[p] <= CLOSE
+        # all between are close to an end if the last that isn't close above p is close below the other: gaps grow with the lag
+        beyond = np.searchsorted(line, line[p] + CLOSE, "right")
+        ok = (beyond >= p + lag) | (mz[p + lag] - mz[np.minimum(beyond, n - 1)] <= CLOSE)
+        left += [p[ok], p[near] + lag]
+        right += [p[ok] + lag, p[near]]
+        # a longer lag can only do where the peaks after p that aren't close above it lie within CLOSE of each other
+        p = p[ok]
+        lag += 1
+    left, right = np.concatenate(left), np.concatenate(right)
+    words = [bins[0:2, left], bins[2:4, left], bins[0:2, right], bins[2:4, right]]
+    at, chosen = np.arange(len(left)), []
+    for low, high in words:
+        two = np.flatnonzero(high[at] > low[at])
+        chosen = [np.concatenate([c, c[two]]) for c in chosen] + [np.concatenate([low[at], high[at[two]]])]
+        at = np.concatenate([at, at[two]])
+    return row[left[at]], _key(chosen)
 
 
 def _grams(df: DataFrame, ident: str, kind: str, probe: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             row, mz, inten = clean_peaks(b.column(1), b.column(2))
-            who, key, peaks = peak_grams(row, mz, inten, b.num_rows, probe)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array(key), pa.array(peaks.astype(np.int32))], names=["id", "gram", "peaks"])
+            peaks = np.bincount(row, minlength=b.num_rows)
+            enough = peaks[row] >= MIN_PEAKS
+            who, key = (probe_grams if probe else neighbour_grams)(row[enough], mz[enough], inten[enough])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(who)), pa.array(key), pa.array(peaks[who].astype(np.int32))], names=["id", "gram", "peaks"])
 
     return df.select(ident, F.col("ms2_mzs").cast("array<double>"), F.col("ms2_normalized_intensities").cast("array<double>")).mapInArrow(run, f"id {kind}, gram bigint, peaks int")
 
@@ -124,19 +168,20 @@ def _verified(pairs: DataFrame, schema: str) -> DataFrame:
 
 
 def candidate_pairs(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(row_id, spectrum_id): pairs whose common grams reach the number that three quarters of agreeing peaks imply.
+    """(row_id, spectrum_id, hits, n, m): pairs whose common grams reach the number that three quarters of agreeing peaks imply.
+
+    Of n and m peaks k pair off. At least 2k - n - 1 neighbours in the train spectrum are both paired, and their
+    partners are a pair of :func:`probe_grams` unless an unpaired peak stands between them that is close to neither; such a
+    peak can part one pair only, so 3k - n - m - 1 grams are common: one or more from 8 peaks on. None is lost.
 
-    With n and m peaks of which k pair off, at least 3k - n - m - 1 neighbouring pairs stay neighbours in both
-    spectra (every peak without a partner parts two at most); at 8 peaks or more that is one or more. One less is asked
-    for where it is larger, for peaks so close that their order differs.
+    A gram with many train rows is spread over salts; AQE broadcasts the evaluation grams where they are few.
     """
-    t = _grams(train, "row_id", "bigint", probe=False).withColumnsRenamed({"id": "row_id", "peaks": "n"})
+    named = lambda df: _grams(df, "row_id", "bigint", probe=False).withColumnsRenamed({"id": "row_id", "peaks": "n"})
+    t, some = named(train), named(train.where(F.pmod(F.xxhash64("row_id"), F.lit(HOT_SAMPLE)) == 0))
     e = _grams(evaluation, "spectrum_id", "string", probe=True).withColumnsRenamed({"id": "spectrum_id", "peaks": "m"}).distinct()
-    if e.limit(MAX_BROADCAST_GRAMS + 1).count() <= MAX_BROADCAST_GRAMS:
-        e = F.broadcast(e)
-    hits = t.join(e, "gram").groupBy("row_id", "spectrum_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("m").alias("m"))
+    hits = salted_join(t, e, "gram", sample=some).groupBy("row_id", "spectrum_id").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.first("m").alias("m"))
     most = F.greatest("n", "m")
-    needed = F.greatest(F.lit(1), 3 * F.ceil(most * MIN_SHARE) - F.col("n") - F.col("m") - 2)
+    needed = F.greatest(F.lit(1), 3 * F.ceil(most * MIN_SHARE) - F.col("n") - F.col("m") - 1)
     return hits.where((F.col("hits") >= needed) & (F.least("n", "m") >= most * MIN_SHARE)).select("row_id", "spectrum_id", "hits", "n", "m")
 
 
@@ -148,10 +193,11 @@ def cross_split_overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     of its rows; adducts, energies and libraries aren't read; empty tables give an empty result.
     """
     peaks = ("ms2_mzs", "ms2_normalized_intensities")
-    found = candidate_pairs(train, evaluation)
+    found = cut(candidate_pairs(train, evaluation).select("row_id", "spectrum_id"))
     left = train.select("row_id", F.col(peaks[0]).alias("mz_a"), F.col(peaks[1]).alias("int_a"))
     right = evaluation.select("spectrum_id", F.col(peaks[0]).alias("mz_b"), F.col(peaks[1]).alias("int_b"))
-    full = found.select("row_id", "spectrum_id").join(left, "row_id").join(right, "spectrum_id").select("row_id", "spectrum_id", "mz_a", "int_a", "mz_b", "int_b")
+    # a row that many others hold is spread over salts on either side
+    full = salted_join(salted_join(found, left, "row_id"), right, "spectrum_id", sample=found).select("row_id", "spectrum_id", "mz_a", "int_a", "mz_b", "int_b")
     doubles = [F.col(c).cast("array<double>").alias(c) for c in ("mz_a", "int_a", "mz_b", "int_b")]
     shares = _verified(full.select("row_id", "spectrum_id", *doubles), "row_id bigint, spectrum_id string, share double")
     return shares.groupBy("row_id", "spectrum_id").agg(F.max("share").alias("share"))

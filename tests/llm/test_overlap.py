@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from ionloom.llm.overlap import MIN_PEAKS, MIN_SHARE, agreeing_peaks, cross_split_overlaps
+from ionloom.llm.overlap import MIN_PEAKS, MIN_SHARE, agreeing_peaks, cross_split_overlaps, neighbour_grams, probe_grams
 
 TRAIN = "row_id bigint, ms2_mzs array<double>, ms2_normalized_intensities array<double>, gram int, id string"
 TEST = "spectrum_id string, ms2_mzs array<double>, ms2_normalized_intensities array<double>, gram int, id string"
@@ -63,6 +63,42 @@ def test_all_pairs_are_found(spark):
     assert len(expected) > 100 and got == expected
 
 
+def close_spectrum(rng, n):
+    """Peaks in groups that lie closer together than their m/z is certain."""
+    p = []
+    while len(p) < n:
+        at = rng.uniform(50, 400)
+        p += [(at + rng.uniform(0, 0.02), rng.choice([0.3, 0.31, 0.6, 1.0])) for _ in range(rng.choice([1, 2, 2, 3, 5]))]
+    return scaled(p[:n])
+
+
+def test_close_peaks_that_change_their_order(spark):
+    rng = random.Random(11)
+    base = [close_spectrum(rng, rng.choice([8, 8, 8, 9, 12, 20])) for _ in range(80)]
+    doublets = [(x + d, 1.0) for x in (100, 150, 200, 250) for d in (0, 0.0065)]
+    swapped = [(x + d, i) for x in (100, 150, 200, 250) for d, i in ((0, 1.0), (0.0065, 0.95))]
+    base.append(doublets)
+    train, test = list(enumerate(base)), [(f"s{i}", changed(rng, p)) for i, p in enumerate(base) for _ in range(2)] + [("d", swapped)]
+    split = lambda p: ([m for m, _ in p], [i for _, i in p], 1, "x")
+    got = {(r.row_id, r.spectrum_id) for r in cross_split_overlaps(spark.createDataFrame([(i, *split(p)) for i, p in train], TRAIN), spark.createDataFrame([(s, *split(p)) for s, p in test], TEST)).collect()}
+    expected = {(i, s) for i, p in train for s, q in test if min(len(p), len(q)) >= MIN_PEAKS and brute_agree(scaled(p), scaled(q)) / max(len(p), len(q)) >= MIN_SHARE}
+    assert len(expected) > 60 and got == expected
+
+
+def test_grams_of_neighbours_are_probed():
+    """Every pair of neighbours whose partners may be neighbours is among the probe's grams, whatever their order."""
+    rng = random.Random(12)
+    for _ in range(300):
+        p = close_spectrum(rng, rng.randrange(2, 12))
+        q = sorted((m + rng.uniform(-0.0149, 0.0149), i * rng.uniform(0.96, 1.04)) for m, i in p)
+        zero = np.zeros(len(p), dtype=np.int64)
+        wanted = set(neighbour_grams(zero, *(np.array([x[k] for x in p]) for k in (0, 1)))[1].tolist())
+        probed = set(probe_grams(zero, *(np.array([x[k] for x in q]) for k in (0, 1)))[1].tolist())
+        assert wanted <= probed
+    long = np.full(5000, 100.0)
+    assert len(probe_grams(np.zeros(5000, dtype=np.int64), long, np.ones(5000))[1]) < 100
+
+
 def test_agreeing_peaks_is_a_matching():
     rng = random.Random(3)
     for _ in range(300):
