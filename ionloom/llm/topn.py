@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.session import parallelism
+#: Runs of one group that are merged at a time; more are merged in several passes, so memory is bounded by WIDTH x n rows.
+WIDTH = 64
+#: Rows of a batch of results.
+OUT_ROWS = 10_000
 
 
 class LoserTree:
@@ -95,7 +99,33 @@ def _prune(table: pa.Table, n: int, carry: tuple) -> tuple[np.ndarray, tuple]:
     return keep, (group, seen)
 
 
-def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str, n: int = 10, *, buckets: int | None = None) -> DataFrame:
+def merge_groups(rows: Iterable[tuple], n: int, width: int = WIDTH) -> Iterator[tuple[tuple, int]]:
+    """(row, place) of the first ``n`` distinct items of every group; rows are (group, run, order, item, ...), by group, run and order.
+
+    Holds the runs of one group only, at most ``width`` of them, each of n rows at most if it was cut: these are merged to one of ``n`` rows before more are read.
+    """
+    group, run, runs = None, None, []
+
+    def merged() -> list[tuple[tuple, int]]:
+        return merge_runs([[(r[0], r[2], r[3], r) for r in rows] for rows in runs], n)
+
+    for row in rows:
+        if row[0] != group:
+            for best, place in merged():
+                yield best[3], place
+            group, run, runs = row[0], row[1], [[row]]
+        elif row[1] != run:
+            if len(runs) == width:
+                runs = [[best[3] for best, _ in merged()]]
+            run = row[1]
+            runs.append([row])
+        else:
+            runs[-1].append(row)
+    for best, place in merged():
+        yield best[3], place
+
+
+def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str, n: int = 10) -> DataFrame:
     """(<group>, <item>, <score>, <tie>, place): the best row of each item, places 1 to n in every group.
 
     Better is the higher score, then the smaller ``tie`` (null and NaN last), then the smaller item, so the order
@@ -103,11 +133,10 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str,
     count once; an empty table gives an empty result; other columns aren't read.
 
     Every input partition becomes a run sorted by (group, order), cut to n items a group before it is stored: what is
-    shuffled is bounded by runs x groups x n, however many rows a group has, and no task ever holds a whole group. The
-    shuffle stores the runs by bucket (a hash of the group); a loser tree merges a bucket's runs.
+    shuffled is bounded by runs x groups x n, however many rows a group has. The shuffle stores the runs by bucket, its
+    partitions (a hash of the group); there they are sorted by (group, run, order), outside memory if they must be, and a
+    loser tree merges the runs of one group after the other. No task holds a whole group or a whole bucket.
     """
-    spark = df.sparkSession
-    buckets = buckets or 4 * parallelism(spark)
     err = F.col(tie).cast("double")
     slim = (
         df.select(F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("item"), F.col(score).cast("double").alias("s"), F.when(err.isNull() | F.isnan(err), F.lit(float("inf"))).otherwise(err).alias("e"), err.alias("t"))
@@ -121,17 +150,26 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, tie: str,
             keep, carry = _prune(pa.Table.from_batches([batch]), n, carry)
             yield batch.filter(pa.array(keep))
 
-    stored = runs.mapInArrow(prune, runs.schema).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    stored = runs.mapInArrow(prune, runs.schema).repartition("g").sortWithinPartitions("g", "run", F.desc("s"), "e", "item")
+
+    def merge(batches):
+        def rows():
+            for b in batches:
+                for g, i, s, e, t, run in zip(*(c.to_pylist() for c in b.columns)):
+                    yield g, run, (-s, e, i), i, s, t
+
+        def table(out):
+            columns = list(zip(*((g, i, s, t, place) for (g, _, _, i, s, t), place in out))) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["g", "item", "s", "t", "place"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        runs: dict[int, list[tuple]] = {}
-        for run, g, s, e, i, t in zip(*(table.column(c).to_pylist() for c in ("run", "g", "s", "e", "item", "t"))):
-            runs.setdefault(run, []).append((g, (-s, e, i), i, s, t))
-        # the shuffle keeps the rows of a run, but doesn't promise their order
-        best = merge_runs([sorted(runs[r], key=lambda row: row[:2]) for r in sorted(runs)], n)
-        columns = list(zip(*((g, i, s, t, place) for (g, _, i, s, t), place in best))) or [()] * 5
-        kinds = (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-        return pa.table([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["g", "item", "s", "t", "place"])
+        out = []
+        for best in merge_groups(rows(), n):
+            out.append(best)
+            if len(out) == OUT_ROWS:
+                yield table(out)
+                out = []
+        yield table(out)
 
-    merged = stored.groupBy("bucket").applyInArrow(merge, "g string, item string, s double, t double, place bigint")
+    merged = stored.mapInArrow(merge, "g string, item string, s double, t double, place bigint")
     return merged.select(F.col("g").alias(group), F.col("item").alias(item), F.col("s").alias(score), F.col("t").alias(tie), "place")

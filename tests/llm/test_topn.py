@@ -1,6 +1,6 @@
 import random
 
-from ionloom.llm.topn import LoserTree, merge_runs, top_n_per_group
+from ionloom.llm.topn import LoserTree, merge_groups, merge_runs, top_n_per_group
 
 SCHEMA = "g string, item string, s double, e double, bucket string, run string, place int"
 
@@ -52,3 +52,19 @@ def test_loser_tree_merges():
 def test_seek_skips_the_rest_of_a_group():
     runs = [[("a", (i,), f"i{i}") for i in range(100)] + [("b", (0,), "z")], [("a", (0.5,), "y")]]
     assert [(r[0], r[2], p) for r, p in merge_runs(runs, 2)] == [("a", "i0", 1), ("a", "y", 2), ("b", "z", 1)]
+
+
+def test_many_runs_are_merged_in_passes():
+    rng = random.Random(6)
+    rows = [(f"g{g}", run, (rng.random(), 0.0, i), i) for g in range(3) for run in range(50) for i in {f"i{rng.randrange(30)}" for _ in range(6)}]
+    rows.sort(key=lambda r: r[:3])
+    for width in (2, 3, 64):
+        got = [(r[0], r[2], place) for r, place in merge_groups(rows, 4, width)]
+        expected = []
+        for g in ("g0", "g1", "g2"):
+            best = {}
+            for r in rows:
+                if r[0] == g:
+                    best[r[3]] = min(best.get(r[3], r[2]), r[2])
+            expected += [(g, o, p) for p, o in enumerate(sorted(best.values())[:4], 1)]
+        assert got == expected
