@@ -39,6 +39,13 @@ def test_words():
     assert words(None) == words("") == words(" \n…") == []
 
 
+def test_scripts_without_blanks():
+    assert words("质谱 of 化合物カ") == ["质", "谱", "of", "化", "合", "物", "カ"]
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    matcher = Matcher([(5, words(han))])
+    assert matcher.found("前文" + han[3:30] + "后文") == [5] and matcher.found(han[3:18]) == []
+
+
 def test_pieces():
     assert piece_words() == 6
 
@@ -73,3 +80,26 @@ def test_frame(spark):
     items = spark.createDataFrame([(9, item, 1), (9, item, 1), (10, None, 1), (11, "too short", 1)], "item_id bigint, text string, doc_id int")
     assert {tuple(r) for r in quoted_items(frame, items).collect()} == {(1, 9), (5, 9)} and quoted_items(frame, items).count() == 2
     assert quoted_items(frame.limit(0), items).collect() == [] and quoted_items(frame, items.limit(0)).collect() == []
+
+
+def test_partitions_give_what_one_matcher_gives(spark):
+    """The filter, the join of pieces and the stretches lose nothing, and a piece that every document holds is no problem."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)] + ["质", "谱"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([19, 20, 40, 70])))) for k in range(25)]
+    docs = []
+    for d in range(120):
+        ws = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 120))]
+        for _ in range(rng.randrange(0, 4)):
+            item = rng.choice(items)[1].split()
+            n = min(len(item), rng.choice([12, 20, 26, 45]))
+            quote = item[(start := rng.randrange(len(item) - n + 1)) : start + n]
+            if rng.random() < 0.6:
+                quote[rng.randrange(len(quote))] = "other"
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = quote
+        docs.append((d, " ".join(ws), 1, "s"))
+    matcher = Matcher([(k, words(t)) for k, t in items])
+    expected = {(d, k) for d, t, *_ in docs for k in matcher.found(t)}
+    got = quoted_items(spark.createDataFrame(docs, SCHEMA).repartition(5), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert len(expected) > 60 and {tuple(r) for r in got} == expected and len(got) == len(expected)
