@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.session import cut
 
-#: A word is frequent if it stands in the corpus at least this often per text; every other word is one class, RARE.
-FREQUENT = 0.004
+#: A word is frequent if this share of all words (and two) are it: at most 1 / FREQUENT words are. Every other word, and any over LONG characters, is one class, RARE.
+FREQUENT, LONG = 1e-4, 64
 #: An n-gram tells something from this many occurrences inside texts.
 SUPPORT = 5
 #: It is "almost never terminal" if at most this share of its occurrences ends a sentence, a line or a text.
@@ -30,28 +30,23 @@ def _tokens(body: str) -> str:
     return rf"regexp_extract_all(regexp_replace({plain}, r'(?<!9)(?<![\p{{L}}\p{{N}}][-.,/’])9+', '#'), r'{_TOKEN}', 0)"
 
 
-#: Texts without marks of a cut at their end; only those that may have one are searched for it.
-_BODIES = rf"""
-SELECT doc_id, source, text, body FROM @docs
+#: Every text once, tokenised without marks of a cut at its end; only texts that may have some are searched for them.
+#: explode(array(x)) names x, so that it is computed once a text, however often it is used.
+_TEXTS = rf"""
+SELECT doc_id, source, IF(body = '', NULL, {_tokens('body')}) AS tokens, body = text AND body RLIKE r'[0-9][.]$' AS dotted, text RLIKE r'\ufffd\s*$' AS broken,
+       xxhash64(text) AS hash, length(text) AS chars, octet_length(text) AS bytes
+FROM @docs
 LATERAL VIEW explode(array(
   IF(right(text, 3) = '...' OR right(text, 1) IN (' ', '\n', '\t', '\r', '\u00a0', '\u000b', '\u000c', ']', '…', '\ufffd'), regexp_replace(text, r'{_MARKS}', ''), text))) b AS body
-WHERE text IS NOT NULL AND body <> ''
-"""
-# explode(array(x)) names x, so that it is computed once a text, however often it is used
-_SHAPES = f"SELECT tokens FROM @bodies LATERAL VIEW explode(array({_tokens('body')})) t AS tokens"
-
-#: The last tokens of a text, from its last characters where these hold enough whole ones, else from all of it.
-_LAST = f"""
-SELECT doc_id, source, text, body, tokens FROM @bodies
-LATERAL VIEW explode(array(IF(length(body) > 400, {_tokens('right(body, 300)')}, array()))) n AS near
-LATERAL VIEW explode(array(IF(size(near) >= 8, near, {_tokens('body')}))) t AS tokens
+WHERE text IS NOT NULL
 """
 
-#: Every token with the four before it and the one after it ('$' after the last).
+#: Counts of every class with the four before it, inside texts, and of those before the end of a sentence, line or text.
 _GRAMS = """
-SELECT w4, w3, w2, w1, w0, nx
-FROM (SELECT size(tokens) AS n, concat(array('^', '^', '^', '^'), tokens, array('$')) AS p FROM @shapes)
-LATERAL VIEW inline(arrays_zip(slice(p, 1, n), slice(p, 2, n), slice(p, 3, n), slice(p, 4, n), slice(p, 5, n), slice(p, 6, n))) g AS w4, w3, w2, w1, w0, nx
+SELECT p[i] AS c4, p[i + 1] AS c3, p[i + 2] AS c2, p[i + 3] AS c1, p[i + 4] AS c0, count(*) AS n, count_if(p[i + 5] IN {ends}) AS ends
+FROM (SELECT size(classes) AS n, concat(array('^', '^', '^', '^'), classes, array('$')) AS p FROM @classed WHERE size(classes) > 1)
+LATERAL VIEW explode(sequence(0, n - 2)) s AS i
+GROUP BY ALL
 """
 
 _STOPS = "('.', '?', '!', '。', '？', '！')"
@@ -71,12 +66,23 @@ def _sql(text: str, **frames: DataFrame) -> DataFrame:
     return out
 
 
-def _classed(grams: DataFrame, frequent: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """``columns`` with the class of each word beside it, c4 to c0: the word itself if frequent or without a letter, else RARE."""
-    for c in columns:
-        known = F.broadcast(frequent.select(F.col("w").alias("k_" + c)))
-        grams = grams.join(known, F.col(c) == F.col("k_" + c), "left").withColumn("c" + c[1:], F.when(F.col("k_" + c).isNotNull() | ~F.col(c).rlike(r"\p{L}"), F.col(c)).otherwise("RARE")).drop("k_" + c)
-    return grams
+def _classes(tokens: Column, frequent: list[str]) -> Column:
+    """The class of each word: the word itself if frequent or without a letter, else RARE."""
+    return F.transform(tokens, lambda w: F.when(w.isin(frequent) | ~w.rlike(r"\p{L}"), w).otherwise("RARE"))
+
+
+def _continued(words: DataFrame, begun: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, w0, <name>): for each begun word w0, how often (n) words w with the same ``keys`` go on after it.
+
+    Words give at most LONG beginnings, however long they are; longer begun words are compared with the words that share
+    their first LONG characters.
+    """
+    firsts = words.where(F.length("w") > 1).select(*keys, "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(LONG - 1))), lambda i: F.substring("w", F.lit(1), i))).alias("w0"))
+    short = firsts.groupBy(*keys, "w0").agg(F.sum("n").alias(name)).join(begun.where(F.length("w0") < LONG), [*keys, "w0"], "left_semi")
+    head = lambda c: F.substring(c, 1, LONG).alias("head")
+    long = words.where(F.length("w") > LONG).select(*keys, "n", "w", head("w")).join(begun.where(F.length("w0") >= LONG).select(*keys, "w0", head("w0")), [*keys, "head"])
+    long = long.where(F.col("w").startswith(F.col("w0")) & (F.length("w") > F.length("w0"))).groupBy(*keys, "w0").agg(F.sum("n").alias(name))
+    return short.unionByName(long)
 
 
 def _inside(grams: DataFrame, order: int) -> DataFrame:
@@ -100,27 +106,24 @@ def truncated(documents: DataFrame) -> DataFrame:
     - ``bytes``: it ends inside a character (with a replacement character).
 
     Null, empty and blank texts are no cases. Repeated doc_ids come out once. Texts of a null source have no limit.
-    Only the classes of frequent words are broadcast; FREQUENT bounds their number to words per text / FREQUENT.
+    Texts are tokenised once, whole, and stored. The frequent words are collected: at most 1 / FREQUENT of at most LONG characters.
     """
-    bodies = _sql(_BODIES, docs=documents.select("doc_id", "source", "text"))
-    shapes = _sql(_SHAPES, bodies=bodies)
-    total = documents.count()
-    words = cut(_sql("SELECT w, count(*) AS n, count_if(pos < size - 1) AS inner FROM (SELECT size(tokens) AS size, posexplode(tokens) AS (pos, w) FROM @shapes) GROUP BY w", shapes=shapes))
-    frequent = words.where(F.col("n") >= F.lit(max(2.0, FREQUENT * total))).select("w")
-    grams = _sql(_GRAMS, shapes=shapes)
-    classed = _classed(grams, frequent, ("w4", "w3", "w2", "w1", "w0"))
-    inside = cut(_sql(f"SELECT c4, c3, c2, c1, c0, count(*) AS n, count_if(nx IN {_ENDS}) AS ends FROM @grams WHERE nx <> '$' GROUP BY ALL", grams=classed))
-
-    finals = _sql(
-        rf"""
-        SELECT doc_id, source, element_at(p, -5) AS w4, element_at(p, -4) AS w3, element_at(p, -3) AS w2, element_at(p, -2) AS w1, element_at(p, -1) AS w0,
-               text RLIKE r'\ufffd\s*$' AS broken, xxhash64(text) AS hash, length(text) AS chars, octet_length(text) AS bytes, dotted
-        FROM (SELECT *, concat(array('^', '^', '^', '^'), IF(dotted, slice(tokens, 1, size(tokens) - 1), tokens)) AS p
-              FROM (SELECT *, body = text AND body RLIKE r'[0-9][.]$' AS dotted FROM @last))
+    texts = cut(_sql(_TEXTS, docs=documents.select("doc_id", "source", "text")))
+    told = texts.where("tokens is not null")
+    words = cut(_sql("SELECT w, count(*) AS n, count_if(pos < size - 1) AS inner FROM (SELECT size(tokens) AS size, posexplode(tokens) AS (pos, w) FROM @told) GROUP BY w", told=told))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    frequent = sorted(r.w for r in words.where((F.col("n") >= max(2.0, FREQUENT * total)) & (F.length("w") <= LONG)).select("w").collect())
+    inside = cut(_sql(_GRAMS.format(ends=_ENDS), classed=told.select(_classes(F.col("tokens"), frequent).alias("classes"))))
+
+    last = _sql(
+        f"""
+        SELECT doc_id, source, broken, hash, chars, bytes, dotted, slice(p, -5, 5) AS p, element_at(p, -1) AS w0
+        FROM (SELECT *, concat(array('^', '^', '^', '^', '^'), IF(dotted, slice(near, 1, size(near) - 1), near)) AS p FROM (SELECT *, slice(tokens, greatest(1, size(tokens) - 5), 6) AS near FROM @told))
         WHERE element_at(p, -1) NOT IN {_STOPS}""",
-        last=_sql(_LAST, bodies=bodies),
+        told=told,
     )
-    finals = cut(_classed(finals, frequent, ("w4", "w3", "w2", "w1", "w0")))
+    classed = last.withColumn("p", _classes(F.col("p"), frequent))
+    finals = cut(classed.select("doc_id", "source", "broken", "hash", "chars", "bytes", "dotted", "w0", *[F.col("p")[4 - k].alias(f"c{k}") for k in range(5)]))
     # at ends of texts, copies of a text count once
     counted = _sql(
         "SELECT c4, c3, c2, c1, c0, n, ends, n AS inner FROM @inside UNION ALL SELECT c4, c3, c2, c1, c0, count(*), count(*), 0L FROM (SELECT DISTINCT hash, c4, c3, c2, c1, c0 FROM @finals) GROUP BY ALL",
@@ -135,26 +138,19 @@ def truncated(documents: DataFrame) -> DataFrame:
     after = _sql("SELECT c4, c3, c2, c1, sum(n) AS nw, sum(ends) AS endsw FROM @counted GROUP BY ALL", counted=counted)
     looked = looked.join(after, ["c4", "c3", "c2", "c1"], "left")
     # frequent words that begin with the last one, in the same context
-    longer = _sql(
-        """
-        SELECT c2, c1, p AS w0, sum(n) AS longer FROM (
-          SELECT c2, c1, n, explode(transform(sequence(1, length(c0) - 1), i -> substr(c0, 1, i))) AS p
-          FROM (SELECT c2, c1, c0, sum(n) AS n FROM @counted WHERE c0 <> 'RARE' AND length(c0) > 1 GROUP BY c2, c1, c0))
-        GROUP BY c2, c1, p""",
-        counted=counted,
-    )
-    looked = looked.join(longer, ["c2", "c1", "w0"], "left")
+    continuing = _sql("SELECT c2, c1, c0 AS w, sum(n) AS n FROM @counted WHERE c0 <> 'RARE' GROUP BY c2, c1, c0", counted=counted)
+    looked = looked.join(_continued(continuing, finals.select("c2", "c1", "w0").distinct(), ["c2", "c1"], "longer"), ["c2", "c1", "w0"], "left")
     # any words that begin with the last one, where that never stands inside a text
     stems = _sql(r"SELECT DISTINCT w0 FROM @finals WHERE w0 RLIKE r'\p{L}[-/’\x27]?$|#[-/]$'", finals=finals)
-    unseen = stems.join(words.where("inner > 0").select(F.col("w").alias("w0")), "w0", "left_anti")
-    begun = _sql("SELECT p AS w0, sum(inner) AS begun FROM (SELECT inner, explode(transform(sequence(1, length(w) - 1), i -> substr(w, 1, i))) AS p FROM @words WHERE inner > 0 AND length(w) > 1) GROUP BY p", words=words)
-    looked = looked.join(unseen.join(begun, "w0"), "w0", "left")
+    inner = words.where("inner > 0").select("w", F.col("inner").alias("n"))
+    unseen = stems.join(inner.select(F.col("w").alias("w0")), "w0", "left_anti")
+    looked = looked.join(_continued(inner, unseen, [], "begun"), "w0", "left")
     lengths = _sql(
         """
         SELECT source, unit, size, count(*) AS n FROM (
-          SELECT source, stack(2, 'chars', length(text), 'bytes', octet_length(text)) AS (unit, size) FROM @docs WHERE source IS NOT NULL AND length(text) > 0)
+          SELECT source, stack(2, 'chars', chars, 'bytes', bytes) AS (unit, size) FROM @texts WHERE source IS NOT NULL AND chars > 0)
         GROUP BY source, unit, size""",
-        docs=documents.select("source", "text"),
+        texts=texts,
     )
     limits = _sql(
         f"""
