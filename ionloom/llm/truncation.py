@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ionloom.session import cut
 
 #: A word is frequent if this share of all words (and two) are it: at most 1 / FREQUENT words are. Every other word, and any over LONG characters, is one class, RARE.
-FREQUENT, LONG = 1e-4, 64
+FREQUENT, LONG = 2.8e-5, 64
 #: An n-gram tells something from this many occurrences inside texts.
 SUPPORT = 5
 #: It is "almost never terminal" if at most this share of its occurrences ends a sentence, a line or a text.
