@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ionloom.functions import metadata as M
 from ionloom.functions import spectra as S
+from ionloom.functions import structures as X
 from ionloom.functions import vectors as V
 from ionloom.functions.keys import clean_key, clean_name
 from ionloom.operators import ranking as R
@@ -20,7 +21,8 @@ from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL,
 from ionloom.plans.library_queries import _BEST, _TRUTH, ranked_candidates, true_keys
 from ionloom.plans.problems import energy_cte
 from ionloom.plans.registry import Registry
-from ionloom.plans.similarity_queries import _KEYED, _UNIT_PEAKS, ENERGY_SETTING, _cosine_sql, keyed_embeddings, library_settings
+from ionloom.plans.similarity_queries import _KEYED, _UNIT_PEAKS, ENERGY_SETTING, _cosine_sql, constant_bits_baseline, keyed_embeddings, library_settings
+from ionloom.plans.similarity_queries import registry as similarity
 from ionloom.tables import load
 
 registry = Registry()
@@ -346,3 +348,19 @@ def positional_join(spark: SparkSession, folder: str) -> DataFrame:
     s = keep_first(structures(spark, folder).where("key is not null"), ["key"], "fp_index").select("key", "fp_index")
     k = keyed_embeddings(spark, folder).select("row_id", "key", "precursor_mz", "adduct")
     return salted_join(k, s, "key").select("row_id", "fp_index", M.neutral_mass(F.col("precursor_mz"), F.col("adduct")).alias("neutral_mass"))
+
+
+@registry.query("""
+SELECT CASE WHEN normalized_smiles IS NULL OR trim(normalized_smiles) = '' THEN 'unparsable or no structure' WHEN contains(normalized_smiles, '*') THEN 'generic structure (* atoms)'
+ WHEN regexp_matches(normalized_smiles, '\\[[0-9]+[A-Za-z]') THEN 'isotope-labelled' WHEN exact_mass > 2000 THEN 'exact mass above 2000' ELSE 'kept' END AS reason, count(*) AS n, round(sum(len(regexp_extract_all(normalized_smiles, '\\.')))::DOUBLE, 1) AS dots FROM molecules GROUP BY 1""")
+def structure_drop_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Why structures are left out of a library, as far as their text and mass tell."""
+    m = load(spark, folder, "molecules", "normalized_smiles", "exact_mass")
+    dots = F.sum(F.length("normalized_smiles") - F.length(F.replace(F.col("normalized_smiles"), F.lit("."), F.lit(""))))
+    return m.groupBy(X.drop_reason(F.col("normalized_smiles"), F.col("exact_mass")).alias("reason")).agg(F.count("*").alias("n"), F.round(dots.cast("double"), 1).alias("dots"))
+
+
+@registry.query(similarity.sql["constant_bits_baseline"].replace("SELECT k::INT AS k, round(avg(shared / (k + bits - shared)), 6) AS tanimoto FROM i GROUP BY k", "SELECT k, tanimoto FROM (SELECT k::INT AS k, round(avg(shared / (k + bits - shared)), 6) AS tanimoto FROM i GROUP BY k) ORDER BY tanimoto DESC, k LIMIT 1"))
+def best_constant_bits(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of commonest bits that is the best constant guess."""
+    return constant_bits_baseline(spark, folder).orderBy(F.desc("tanimoto"), "k").limit(1)

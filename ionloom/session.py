@@ -58,20 +58,24 @@ def _drop_quietly(spark: SparkSession) -> None:
         pass
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, removed when the application ends."""
+    folder = checkpoint_dir(spark)
+    if folder not in _removed_at_exit:
+        _removed_at_exit.add(folder)
+        atexit.register(_drop_quietly, spark)
+    return f"{folder}/cuts/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the checkpoint folder and read again: cuts its lineage and survives the loss of any executor.
 
     ``checkpoint()`` would compute the last stage twice, once to count and once to write. The tables are removed when
     the application ends, or by :func:`drop_cuts`.
     """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    if folder not in _removed_at_exit:
-        _removed_at_exit.add(folder)
-        atexit.register(_drop_quietly, spark)
-    path = f"{folder}/cuts/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_in_place(df: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import io
 import re
 import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,15 +33,19 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 def sdf(spark: SparkSession, path: str, *properties: str) -> DataFrame:
     """One row per record of SDF text (plain or gzip): title, atoms, bonds and the named properties, NULL where missing.
 
-    Records end with a line ``$$$$``; a record without a counts line has NULL counts.
+    Records end with a line ``$$$$``, lines with LF or CR LF. The title stands three lines above the counts line; a record
+    without one has NULL counts, and its first line that isn't blank as title.
     """
-    records = spark.read.text(path, lineSep="$$$$\n").where(F.trim("value") != "")
+    records = spark.read.text(path, lineSep="\n$$$$").where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     lines = F.split(F.regexp_replace("value", r"\r", ""), "\n")
-    # records after the first may begin with the rest of a line break only in a damaged file
-    counts = F.element_at(F.filter(lines, lambda x: x.rlike(r"V[23]000\s*$")), 1)
-    number = lambda at: F.expr("1") if at is None else F.try_to_number(F.trim(F.substring(counts, at, 3)), F.lit("999")).cast("int")
-    prop = lambda p: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^>[^\n<]*<{re.escape(p)}>[^\n]*\n([^\n]*)", 1)), F.lit(""))
-    return records.select(F.trim(F.element_at(lines, 1)).alias("title"), number(1).alias("atoms"), number(4).alias("bonds"), *[prop(p).alias(p) for p in properties])
+    is_counts = lambda x: x.rlike(r"V[23]000\s*$")
+    counts = F.get(F.filter(lines, is_counts), 0)
+    place = F.array_position(F.transform(lines, is_counts), True).cast("int")
+    first = F.get(F.filter(lines, lambda x: F.trim(x) != ""), 0)
+    title = F.trim(F.when(place > 3, F.get(lines, place - 4)).otherwise(first))
+    number = lambda at: F.try_to_number(F.trim(F.substring(counts, at, 3)), F.lit("999")).cast("int")
+    prop = lambda p: F.nullif(F.trim(F.regexp_extract(F.regexp_replace("value", r"\r", ""), rf"(?m)^>[^\n<]*<{re.escape(p)}>[^\n]*\n([^\n]*)", 1)), F.lit(""))
+    return records.select(title.alias("title"), number(1).alias("atoms"), number(4).alias("bonds"), *[prop(p).alias(p) for p in properties])
 
 
 def zipped_sdf(spark: SparkSession, path: str, member: str, *properties: str) -> DataFrame:
@@ -85,10 +91,30 @@ def npz_parts(spark: SparkSession, path: str, ids: str = "row_ids", vectors: str
     return files.where(~F.col("path").endswith(".tmp.npz")).select("content").mapInPandas(read, "row_id bigint, embedding array<float>")
 
 
-def offset_blob(spark: SparkSession, masses: np.ndarray, offsets: np.ndarray, blob: bytes) -> DataFrame:
-    """(mass, smiles) from the arrays of a mass-sorted blob: a one-time conversion; write it with ``write_mass_parts``."""
-    rows = pd.DataFrame({"mass": masses.astype(float), "smiles": [blob[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]})
-    return spark.createDataFrame(rows, "mass double, smiles string")
+def offset_blob(spark: SparkSession, folder: str, masses: str = "mass.npy", offsets: str = "offsets.npy", parts: str = "blob.npy.part_*", header: int = 128, rows: int = 200_000) -> DataFrame:
+    """(position, mass, smiles) of a mass-sorted blob in array files that all executors can read under ``folder``.
+
+    The blob may lie in parts, cut anywhere, with ``header`` bytes before its first; ``offsets`` has one entry more than
+    ``masses``. Every task reads the bytes of its ``rows`` structures; nothing goes through the driver. Write the result
+    with ``write_mass_parts``.
+    """
+    count = np.load(f"{folder}/{masses}", mmap_mode="r").shape[0]
+
+    def read(batches):
+        m, o = (np.load(f"{folder}/{n}", mmap_mode="r") for n in (masses, offsets))
+        files = [np.memmap(p, dtype=np.uint8, mode="r") for p in sorted(glob.glob(f"{folder}/{parts}"))]
+        starts = np.cumsum([0] + [len(f) for f in files])
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                lo, hi = k * rows, min(count, (k + 1) * rows)
+                cut = np.asarray(o[lo : hi + 1]).astype(np.int64)
+                first, last = int(cut[0]) + header, int(cut[-1]) + header
+                raw = b"".join(f[max(first, s) - s : min(last, e) - s].tobytes() for f, s, e in zip(files, starts, starts[1:]) if first < e and last > s)
+                text = pa.Array.from_buffers(pa.string(), hi - lo, [None, pa.py_buffer((cut - cut[0]).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), pa.array(np.asarray(m[lo:hi], dtype=float)), text], names=["position", "mass", "smiles"])
+
+    chunks = max(1, -(-count // rows))
+    return spark.range(0, chunks, 1, chunks).mapInArrow(read, "position bigint, mass double, smiles string")
 
 
 def sql_on_file(spark: SparkSession, path: str, query: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.sources.cache import finished
+
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "zstd").parquet(path)
@@ -21,14 +23,10 @@ def write_missing(df: DataFrame, path: str, part: str) -> list:
     Spark's committer publishes a part when its job ends, so an interrupted run leaves no half part behind; ``part`` takes
     few values.
     """
-    spark = df.sparkSession
-    try:
+    spark, todo = df.sparkSession, df
+    if finished(spark, path):
         done = spark.read.parquet(path).select(F.col(part).cast("string").alias("__done")).distinct()
-        todo = df.join(F.broadcast(done), F.col(part).cast("string") == F.col("__done"), "left_anti")
-    except Exception as error:  # nothing there yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        todo = df
+        todo = df.join(done, F.col(part).cast("string") == F.col("__done"), "left_anti")
     written = [r[0] for r in todo.select(part).distinct().collect()]
     if written:
         todo.repartition(part).write.mode("append").partitionBy(part).option("compression", "zstd").parquet(path)

@@ -1,11 +1,14 @@
 import gzip
+import os
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ionloom.session import cut, drop_cuts
 from ionloom.sources import readers, writers
+from ionloom.sources.cache import computed_or_read, missing_rows
 
 SDF = "one\n  made\n\n  2  1  0  0  0  0            999 V2000\nM  END\n> <ChEBI ID>\nCHEBI:1\n\n$$$$\ntwo\n  made\n\n  3  2  0  0  0  0            999 V2000\nM  END\n> <NAME>\nx\n\n$$$$\n"
 
@@ -61,5 +64,46 @@ def test_row_ids_and_blob(spark, tmp_path):
     spark.range(50, numPartitions=1).write.parquet(str(tmp_path / "r"))
     rows = readers.with_row_id(spark.read.parquet(str(tmp_path / "r"))).collect()
     assert all(r.id == r.row_id for r in rows)
-    blob = readers.offset_blob(spark, np.array([1.0, 2.0]), np.array([0, 2, 5]), b"COCCC")
-    assert [tuple(r) for r in blob.collect()] == [(1.0, "CO"), (2.0, "CCC")]
+
+
+def test_offset_blob_in_parts(spark, tmp_path):
+    smiles = ["CO", "CCC", "", "N#N", "O=C=O", "[Na+].[Cl-]"]
+    body = "".join(smiles).encode()
+    np.save(tmp_path / "mass.npy", np.arange(6) + 0.5)
+    np.save(tmp_path / "offsets.npy", np.cumsum([0] + [len(s) for s in smiles]))
+    raw = b"#" * 128 + body
+    for k, (a, b) in enumerate([(0, 100), (100, 131), (131, len(raw))]):
+        (tmp_path / f"blob.npy.part_{k}").write_bytes(raw[a:b])
+    for rows in (2, 100):
+        got = readers.offset_blob(spark, str(tmp_path), rows=rows).orderBy("position").collect()
+        assert [tuple(r) for r in got] == [(i, i + 0.5, s) for i, s in enumerate(smiles)]
+
+
+def test_sdf_with_carriage_returns(spark, tmp_path):
+    (tmp_path / "c.sdf").write_bytes(SDF.replace("\n", "\r\n").encode())
+    rows = readers.sdf(spark, str(tmp_path / "c.sdf"), "ChEBI ID", "NAME").collect()
+    assert [tuple(r) for r in rows] == [("one", 2, 1, "CHEBI:1", None), ("two", 3, 2, None, "x")]
+    (tmp_path / "d.sdf").write_text("\n  made\n\n  2  1  0  0  0  0            999 V2000\nM  END\n\n$$$$\nno counts\n$$$$\n")
+    assert [tuple(r) for r in readers.sdf(spark, str(tmp_path / "d.sdf")).collect()] == [("", 2, 1), ("no counts", None, None)]
+
+
+def test_computed_once(spark, tmp_path):
+    path, calls = str(tmp_path / "cache"), []
+
+    def compute():
+        calls.append(1)
+        return spark.range(5)
+
+    assert missing_rows(spark, path, spark.range(3), "id").count() == 3
+    assert computed_or_read(spark, path, compute).count() == computed_or_read(spark, path, compute).count() == 5 and len(calls) == 1
+    assert [r.id for r in missing_rows(spark, path, spark.range(3, 8), "id").orderBy("id").collect()] == [5, 6, 7]
+    (tmp_path / "cache" / "_SUCCESS").unlink()
+    assert computed_or_read(spark, path, compute).count() == 5 and len(calls) == 2
+
+
+def test_cuts_are_removed(spark):
+    df = cut(spark.range(7))
+    assert df.count() == 7 and df.inputFiles()
+    path = df.inputFiles()[0].removeprefix("file://")
+    drop_cuts(spark)
+    assert not os.path.exists(path)

@@ -84,3 +84,16 @@ def test_keys_names_formulas(spark):
     assert one(spark, "n string", (" Ursa_TIMS ",), clean_name(F.col("n")))[0] == "ursa-tims"
     mass = lambda x: one(spark, "f string", (x,), formula_mass(F.col("f")))[0]
     assert math.isclose(mass("C6H12O6"), 180.0633881, abs_tol=1e-5) and mass("Xx2") is None and mass("") is None and mass(None) is None
+
+
+def test_structures_as_text(spark):
+    from ionloom.functions import structures as X
+
+    rows = [("[13CH4].CCO.[Na+]",), ("C[2H]",), ("CC(=O)Cl.Br",), ("*CC",), (" ",), (None,), ("c1ccccc1[N+](=O)[O-]",)]
+    df = spark.createDataFrame(rows, "s string")
+    got = [tuple(r) for r in df.select(X.without_isotope_labels(F.col("s")), X.heavy_atoms(F.col("s")), X.largest_fragment(F.col("s")), X.drop_reason(F.col("s"), F.lit(100.0))).collect()]
+    assert got[0] == ("[CH4].CCO.[Na+]", 5, "CCO", "isotope-labelled")
+    assert got[1] == ("C[H]", 1, "C[2H]", "isotope-labelled")
+    assert got[2] == ("CC(=O)Cl.Br", 5, "CC(=O)Cl", "kept")
+    assert got[3][3] == "generic structure (* atoms)" and got[4][3] == got[5][3] == "unparsable or no structure" and got[6][1:] == (9, "c1ccccc1[N+](=O)[O-]", "kept")
+    assert spark.range(1).select(X.drop_reason(F.lit("C"), F.lit(2000.5))).first()[0] == "exact mass above 2000"
