@@ -75,8 +75,8 @@ def close_spectrum(rng, n):
 def test_close_peaks_that_change_their_order(spark):
     rng = random.Random(11)
     base = [close_spectrum(rng, rng.choice([8, 8, 8, 9, 12, 20])) for _ in range(80)]
-    doublets = [(x + d, 1.0) for x in (100, 150, 200, 250) for d in (0, 0.0065)]
-    swapped = [(x + d, i) for x in (100, 150, 200, 250) for d, i in ((0, 1.0), (0.0065, 0.95))]
+    doublets = [(x + d, 1.0) for x in (100.0, 150.0, 200.0, 250.0) for d in (0, 0.0065)]
+    swapped = [(x + d, i) for x in (100.0, 150.0, 200.0, 250.0) for d, i in ((0, 1.0), (0.0065, 0.95))]
     base.append(doublets)
     train, test = list(enumerate(base)), [(f"s{i}", changed(rng, p)) for i, p in enumerate(base) for _ in range(2)] + [("d", swapped)]
     split = lambda p: ([m for m, _ in p], [i for _, i in p], 1, "x")
