@@ -16,11 +16,12 @@ from ionloom.operators import ranking as R
 from ionloom.operators import stats
 from ionloom.operators.ppm import ppm_join, with_position
 from ionloom.operators.sampling import hash_order
-from ionloom.operators.skew import salted_join
 from ionloom.operators.units import energies_in_ev, energy_setting
+from ionloom.operators.windows import search_library
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL, PEAKS, UNIT, embeddings, structures, test_spectra, train_spectra
 from ionloom.plans.problems import energy_cte
 from ionloom.plans.registry import Registry
+from ionloom.session import cut
 from ionloom.tables import load
 
 registry = Registry()
@@ -198,20 +199,14 @@ def peak_cosine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, folder: str, rule: str) -> DataFrame:
-    """Candidates in the mass window, their spectra by the fallback rule, mean over query spectra of the best cosine, top 25."""
-    queries = query_spectra(spark, folder).where(F.col("adduct").isin(*ADDUCTS))
+    """Candidates in the mass window, their spectra by the fallback rule, mean over query spectra of the best cosine, top 25: pairs stay inside a group of near masses."""
+    queries = cut(query_spectra(spark, folder).where(F.col("adduct").isin(*ADDUCTS)))
     masses = queries.groupBy("molecule_id").agg(F.avg(neutral(F.col("precursor_mz"), F.col("adduct"))).alias("m"))
     found = structures(spark, folder).where("key is not null").groupBy("key").agg(F.min("mass").alias("mass"))
-    window = ppm_join(masses, found, "m", "mass", 10.0).select("molecule_id", "key", (F.abs(F.col("mass") - F.col("m")) / F.col("m") * 1e6).alias("err"))
     spectra = library_spectra(spark, folder).where("key is not null")
-    # what is compared is decided on setups; then only the spectra of those carry their peaks, a molecule with many spectra over salts
-    asked = window.join(queries.select("molecule_id", "q", "adduct", "mode", "energy"), "molecule_id").select("molecule_id", "q", "key", "adduct", "mode", "energy")
-    chosen = R.comparable_setups(asked, spectra, {"polarity": "mode", "adduct": "adduct"}[rule]).select("molecule_id", "q", "key", "setup")
-    kept = salted_join(spectra.select(R.setup_of().alias("setup"), "o_p"), chosen.join(queries.select("q", "p"), "q"), "setup")
-    scored = kept.select("molecule_id", "q", "key", S.peak_cosine(F.col("p"), F.col("o_p")).alias("score"))
-    mean = R.mean_of_max(scored, queries, "molecule_id", "q", "key", "score").join(window, ["molecule_id", "key"])
-    order = (F.desc(F.round("score", 9)), F.col("err"), F.col("key"))
-    return R.rank_per_query(mean, "molecule_id", "key", *order).where("rank <= 25").select("molecule_id", "key", F.round("score", 6).alias("score"), "rank")
+    keys = load(spark, folder, "train", clean_key(F.col("inchikey14")).alias("key")).where("key is not null")
+    best = search_library(masses, queries, found, spectra, keys, {"polarity": "mode", "adduct": "adduct"}[rule])
+    return best.select("molecule_id", "key", F.round("score", 6).alias("score"), "rank")
 
 
 def _search_sql(rule: str) -> str:
