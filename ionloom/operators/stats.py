@@ -194,3 +194,45 @@ def paired_difference(df: DataFrame, old: Column, new: Column, *by: str) -> Data
     """Mean difference, its standard error, and how many got better or worse."""
     d = df.withColumn("__d", new - old)
     return d.groupBy(*by).agg(F.avg("__d").alias("mean_difference"), (F.stddev_samp("__d") / F.sqrt(F.count("__d"))).alias("standard_error"), F.count_if(F.col("__d") > 0).alias("better"), F.count_if(F.col("__d") < 0).alias("worse"))
+
+
+def mean_vectors(df: DataFrame, vector: str, key: str) -> DataFrame:
+    """(key, n, v): the element-wise mean of each key's vectors as one array, and their number; null keys and vectors count nowhere.
+
+    Vectors are added up in Arrow batches before the shuffle and, in order of the key, after it.
+    """
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.lit(1).cast("bigint").alias("__n"), F.col(vector).cast("array<double>").alias("__s"))
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, __n bigint, __s array<double>"
+
+    def added(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        codes = b.column(0).dictionary_encode()
+        order = np.argsort(codes.indices.to_numpy(), kind="stable")
+        _, start = np.unique(codes.indices.to_numpy()[order], return_index=True)
+        x = np.asarray(b.column(2).flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(b.num_rows, -1)
+        return codes.dictionary, np.add.reduceat(b.column(1).to_numpy()[order], start), np.add.reduceat(x[order], start, axis=0)
+
+    def partial(batches):
+        for b in batches:
+            if b.num_rows:
+                k, n, s = added(b)
+                yield pa.RecordBatch.from_arrays([k, pa.array(n), _lists(s)], names=[key, "__n", "__s"])
+
+    def merged(batches):
+        held = None
+        out = lambda k, n, s: pa.RecordBatch.from_arrays([k, pa.array(n), _lists(s / n[:, None])], names=[key, "n", "v"])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, n, s = added(b)  # in order of the key
+            if held is not None and held[0][0] == k[0]:
+                n[0], s[0] = n[0] + held[1][0], s[0] + held[2][0]
+            elif held is not None:
+                yield out(*held)
+            if len(k) > 1:
+                yield out(k[:-1], n[:-1], s[:-1])
+            held = k[-1:], n[-1:], s[-1:]
+        if held is not None:
+            yield out(*held)
+
+    parts = rows.mapInArrow(partial, schema).repartition(key).sortWithinPartitions(key)
+    return parts.mapInArrow(merged, schema.replace("__n", "n").replace("__s", "v"))

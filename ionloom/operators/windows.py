@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionloom.functions.vectors import EPSILON
 from ionloom.operators.skew import salted_join
 from ionloom.session import cut
 
@@ -179,3 +180,92 @@ def search_library(masses: DataFrame, queries: DataFrame, found: DataFrame, spec
     means = spectrum.groupBy("molecule", "key").agg((F.sum(best) / F.max("n")).alias("score"), F.max("err").alias("err"))
     order = Window.partitionBy("molecule").orderBy(F.desc(F.round("score", 9)), "err", "key")
     return means.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= TOP).select(F.col("molecule").alias("molecule_id"), "key", "score", "rank")
+
+
+#: Library keys of a group of a ranking, and queries that it scores at once.
+KEYS, AT_ONCE = 8192, 256
+#: Scores nearer than this are compared after they are rounded; far above what the order of a sum changes.
+NEAR = 1e-7
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    clipped = np.clip(p, EPSILON, 1 - EPSILON)
+    return np.log(clipped) - np.log(1 - clipped)
+
+
+#: The scorers of ``functions.vectors.SCORERS`` from (sum of products with the weights, sum of p, sum of bits), and whether their weights are log odds.
+_MATRIX = {
+    "likelihood": (True, lambda d, p, b: d),
+    "tanimoto": (False, lambda d, p, b: d / (p + b - d)),
+    "dot": (False, lambda d, p, b: d),
+    "dot_over_root": (False, lambda d, p, b: d / np.sqrt(np.maximum(b, 1.0))),
+}
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows, added up from left to right."""
+    return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+
+def _rank_group(library: pa.Table, asked: pa.Table, scorers: tuple[str, ...]) -> pa.Table:
+    """(query, n, before_<scorer>): the keys in each query's window, and those that come before the true one; NULL if that isn't a candidate."""
+    schema = pa.schema([("query", pa.string()), ("n", pa.int64())] + [(f"before_{s}", pa.int64()) for s in scorers])
+    if not library.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    library = library.sort_by("mass")
+    matrix = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(c), -1)
+    mass, bits, p = library.column("mass").to_numpy(), matrix(_one(library.column("bits"))), matrix(_one(asked.column("p")))
+    low, high, true_mass = (asked.column(c).to_numpy() for c in ("low", "high", "true_mass"))
+    keys = np.array(library.column("key").to_pylist(), dtype=object)
+    first, last = np.searchsorted(mass, low, "left"), np.searchsorted(mass, high, "right")
+    here = (true_mass >= low) & (true_mass <= high)
+    set_bits = _in_order(bits)
+    before = {s: np.zeros(len(p), dtype=np.int64) for s in scorers}
+    todo = np.flatnonzero(here & (last > first))
+    todo = todo[np.argsort(first[todo], kind="stable")]
+    true_bits, true_key = _one(asked.column("true_bits")), asked.column("true_key").to_pylist()
+    for at in range(0, len(todo), AT_ONCE):
+        q = todo[at : at + AT_ONCE]
+        a, b = first[q].min(), last[q].max()
+        inside = (np.arange(a, b) >= first[q][:, None]) & (np.arange(a, b) < last[q][:, None])
+        t = matrix(true_bits.take(pa.array(q)))
+        weights = {odds: _log_odds(p[q]) if odds else p[q] for odds in {_MATRIX[s][0] for s in scorers}}
+        products = {odds: w @ bits[a:b].T for odds, w in weights.items()}
+        total, true_total = _in_order(p[q]), _in_order(t)
+        for s in scorers:
+            odds, f = _MATRIX[s]
+            exact = lambda i, k, f=f, w=weights[odds]: rounded(f(_in_order(w[i] * bits[a + k]), total[i], set_bits[a + k]))
+            truth = f(_in_order(weights[odds] * t), total, true_total)
+            score = f(products[odds], total[:, None], set_bits[None, a:b])
+            gap = score - truth[:, None]
+            better = inside & (gap > NEAR)
+            i, k = np.nonzero(inside & (np.abs(gap) <= NEAR))
+            if len(i):
+                now, then = exact(i, k), rounded(truth)[i]
+                smaller = np.array([keys[a + y] < true_key[q[x]] for x, y in zip(i, k)], dtype=bool)
+                better[i, k] = (now > then) | ((now == then) & smaller)
+            before[s][q] = better.sum(axis=1)
+    return pa.table([asked.column("query").combine_chunks().cast(pa.string()), pa.array(last - first), *[pa.array(before[s], mask=~here) for s in scorers]], schema=schema)
+
+
+def rank_truth(queries: DataFrame, library: DataFrame, scorers: tuple[str, ...], *, ppm: float = 10.0, limit: int | None = None) -> DataFrame:
+    """(query, n_candidates, rank_<scorer>): the place of each query's true key among the library's keys in its mass window.
+
+    ``queries`` (query, true_key, mass_q, p), ``library`` (key, mass, bits), a key once; ``scorers``: names of ``functions.vectors.SCORERS``.
+    Scores are compared rounded to 9 digits, ties go to the smaller key. A query without a key in its window has no row.
+
+    Keys lie in groups of about ``limit`` (KEYS) near masses. A query is sent, with the bits of its true key, to the groups
+    that its window touches; these count what comes before the truth, and the counts are added up.
+    """
+    limit = limit or KEYS
+    library = library.where((F.col("mass") > 0) & ~F.isnan("mass"))
+    home = library.withColumn("__cell", cell(F.col("mass"), ppm))
+    sizes = home.groupBy("__cell").agg(F.ceil(F.count("*") / limit).alias("groups"))
+    group = lambda part: F.concat_ws("|", F.col("__cell").cast("string"), part.cast("string")).alias("g")
+    home = home.join(sizes, "__cell").select(group(F.pmod(F.xxhash64("key"), F.col("groups"))), "key", "mass", "bits")
+    truth = library.select(F.col("key").alias("true_key"), F.col("mass").alias("true_mass"), F.col("bits").alias("true_bits"))
+    asked = bounded(queries.select("query", "true_key", "mass_q", "p").join(truth, "true_key", "left"), "mass_q", ppm).join(sizes, "__cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asked = asked.select(group(F.col("part")), "query", "true_key", "true_mass", "true_bits", F.col("__low").alias("low"), F.col("__high").alias("high"), "p")
+    counted = home.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(lambda a, b: _rank_group(a, b, scorers), "query string, n bigint, " + ", ".join(f"before_{s} bigint" for s in scorers))
+    summed = counted.groupBy("query").agg(F.sum("n").alias("n_candidates"), *[(F.sum(f"before_{s}") + 1).alias(f"rank_{s}") for s in scorers])
+    return summed.where("n_candidates > 0")

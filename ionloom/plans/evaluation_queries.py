@@ -17,12 +17,14 @@ from ionloom.operators.dedupe import keep_first, lookup_or_fail
 from ionloom.operators.ppm import adaptive_window, with_position
 from ionloom.operators.search import best_relatives, nearest_exact, neighbour_recall
 from ionloom.operators.skew import salted_join
+from ionloom.operators.windows import rank_truth
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL, embeddings, structures, train_spectra
 from ionloom.plans.library_queries import _BEST, _TRUTH, ranked_candidates, true_keys
 from ionloom.plans.problems import energy_cte
 from ionloom.plans.registry import Registry
 from ionloom.plans.similarity_queries import _KEYED, _UNIT_PEAKS, ENERGY_SETTING, _cosine_sql, constant_bits_baseline, keyed_embeddings, library_settings
 from ionloom.plans.similarity_queries import registry as similarity
+from ionloom.session import cut
 from ionloom.tables import load
 
 registry = Registry()
@@ -63,14 +65,16 @@ def _ranks_sql(p: str, scorers: tuple[str, ...]) -> str:
 def _ranked(spark: SparkSession, folder: str, value, scorers: tuple[str, ...]) -> DataFrame:
     """Spectra of one half of the hash are the queries, a molecule's together; the bits of a structure are the signs of the other half's mean vector."""
     k = keyed_embeddings(spark, folder).where("key is not null").withColumn("h", F.conv(F.substring(P.hash_order(0, F.col("row_id")), 1, 1), 16, 10).cast("int") % 2)
-    vector = lambda df: df.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("v"))
-    bits = vector(stats.mean_vector(k.where("h = 0"), "u", "key")).select("key", F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("bits"))
+    bits = stats.mean_vectors(k.where("h = 0"), "u", "key").select("key", F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("bits"))
     masses = structures(spark, folder).where("key is not null and mass is not null").groupBy("key").agg(F.min("mass").alias("mass"))
-    asked = k.where((F.col("h") == 1) & F.col("adduct").isin(*M.ADDUCTS)).select("key", M.neutral_mass(F.col("precursor_mz"), F.col("adduct")).alias("m"), value(F.col("u")).alias("p"))
-    queries = vector(stats.mean_vector(asked, "p", "key")).withColumnRenamed("v", "p").join(asked.groupBy("key").agg(F.count("*").alias("n_spectra"), F.avg("m").alias("mass_q")), "key")
-    queries = queries.select(F.col("key").alias("query"), F.col("key").alias("true_key"), "mass_q", "p", "n_spectra")
-    ranks = R.rank_queries(queries, bits.join(masses, "key"), {s: V.SCORERS[s] for s in scorers})
-    return ranks.select("query", "n_spectra", F.round("mass_q", 5).alias("neutral_mass"), *[f"rank_{s}" for s in scorers], "n_candidates")
+    # the mass is averaged with the vector, over the spectra that have one
+    m = M.neutral_mass(F.col("precursor_mz"), F.col("adduct"))
+    asked = k.where((F.col("h") == 1) & F.col("adduct").isin(*M.ADDUCTS)).select("key", F.concat(value(F.col("u")), F.array(F.coalesce(m, F.lit(0.0)), m.isNotNull().cast("double"))).alias("x"))
+    x = F.col("v")
+    queries = stats.mean_vectors(asked, "x", "key").select(F.col("key").alias("query"), F.col("key").alias("true_key"), F.try_divide(x[F.size(x) - 2], x[F.size(x) - 1]).alias("mass_q"), F.slice(x, 1, F.size(x) - 2).alias("p"), F.col("n").alias("n_spectra"))
+    queries = cut(queries)
+    ranks = queries.drop("p", "true_key").join(rank_truth(queries, cut(bits.join(masses, "key")), scorers), "query", "left")
+    return ranks.select("query", "n_spectra", F.round("mass_q", 5).alias("neutral_mass"), *[f"rank_{s}" for s in scorers], F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 @registry.query(_ranks_sql("1.0 / (1.0 + exp(-8.0 * u[d]))", tuple(V.SCORERS)))

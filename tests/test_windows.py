@@ -63,3 +63,26 @@ def test_search_in_groups_and_pieces(spark, same, limit):
     for r in got:
         score, rank = expected[r.molecule_id, r.key]
         assert math.isclose(r.score, score, abs_tol=1e-12) and r["rank"] == rank
+
+
+@pytest.mark.parametrize("limit", [8192, 2])
+def test_rank_truth(spark, limit):
+    """The ranks of the full ranking, in groups of any size, with equal bits, a truth outside the window and one without bits."""
+    from ionloom.functions.vectors import SCORERS
+    from ionloom.operators import ranking as R
+
+    rng = np.random.default_rng(5)
+    library = [(f"k{i:02d}", 200.0 * (1 + i % 7 * 2e-6), [float(x) for x in rng.integers(0, 2, 6)]) for i in range(30)] + [("far", 300.0, [1.0] * 6), ("dark", None, [1.0] * 6)]
+    queries = [(f"q{i}", key, 200.0, [float(x) for x in rng.random(6)]) for i, key in enumerate(["k03", "k10", "k29", "far", "dark", "absent"])] + [("none", "k01", 900.0, [0.5] * 6)]
+    lib, q = spark.createDataFrame(library, "key string, mass double, bits array<double>"), spark.createDataFrame(queries, "query string, true_key string, mass_q double, p array<double>")
+    columns = ["query", "n_candidates", *[f"rank_{s}" for s in SCORERS]]
+    expected = {tuple(r) for r in R.rank_queries(q, lib, SCORERS).select(*columns).collect() if r.n_candidates}
+    assert len(expected) == 6 and {tuple(r) for r in W.rank_truth(q, lib, tuple(SCORERS), limit=limit).select(*columns).collect()} == expected
+
+
+def test_mean_vectors(spark):
+    from ionloom.operators import stats
+
+    rows = [("hot", [float(i), 1.0]) for i in range(500)] + [("b", [2.0, 4.0]), (None, [9.0, 9.0]), ("c", None)]
+    got = {r.k: (r.n, r.v) for r in stats.mean_vectors(spark.createDataFrame(rows, "k string, u array<double>").repartition(5), "u", "k").collect()}
+    assert got == {"hot": (500, [249.5, 1.0]), "b": (1, [2.0, 4.0])}
