@@ -94,9 +94,10 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
 
 
-def rounded(x: np.ndarray) -> np.ndarray:
-    """To 9 digits, halves away from zero."""
-    return np.sign(x) * np.floor(np.abs(x) * 1e9 + 0.5) / 1e9
+def rounded(x: np.ndarray, digits: int = 9) -> np.ndarray:
+    """Halves away from zero."""
+    scale = 10.0**digits
+    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale
 
 
 _FOUND = pa.schema([("molecule", pa.string()), ("key", pa.string()), ("q", pa.string()), ("n", pa.int64()), ("err", pa.float64()), ("s", pa.float64()), ("exact", pa.float64()), ("other", pa.float64())])
@@ -269,3 +270,46 @@ def rank_truth(queries: DataFrame, library: DataFrame, scorers: tuple[str, ...],
     counted = home.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(lambda a, b: _rank_group(a, b, scorers), "query string, n bigint, " + ", ".join(f"before_{s} bigint" for s in scorers))
     summed = counted.groupBy("query").agg(F.sum("n").alias("n_candidates"), *[(F.sum(f"before_{s}") + 1).alias(f"rank_{s}") for s in scorers])
     return summed.where("n_candidates > 0")
+
+
+#: Spectra of each side in a group of pairs: about as many pairs as their product are held as rows at once.
+SIDE = 1024
+
+
+def _pairs_group(library: pa.Table, asked: pa.Table, digits: int) -> pa.Table:
+    """(q, o, cosine) of the pairs of a group that lie in each other's window."""
+    schema = pa.schema([("q", pa.string()), ("o", pa.string()), ("cosine", pa.float64())])
+    if not library.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    library = library.sort_by("mass")
+    mass = library.column("mass").to_numpy()
+    low, high = (asked.column(c).to_numpy() for c in ("low", "high"))
+    first, last = np.searchsorted(mass, low, "left"), np.searchsorted(mass, high, "right")
+    if not (last > first).any():
+        return schema.empty_table()
+    index = PeakIndex(_one(library.column("o_mz")), _one(library.column("o_i")))
+    at, mz, inten = _lists(_one(asked.column("mz")), _one(asked.column("i")))
+    kept = np.flatnonzero(last > first)
+    scores = [index.cosines(mz[at[r] : at[r + 1]], inten[at[r] : at[r + 1]])[first[r] : last[r]] for r in kept]
+    n = last[kept] - first[kept]
+    o = np.arange(n.sum()) + np.repeat(first[kept] - (np.cumsum(n) - n), n)
+    return pa.table([_one(asked.column("q")).take(pa.array(np.repeat(kept, n))), _one(library.column("o")).take(pa.array(o)), pa.array(rounded(np.concatenate(scores), digits))], schema=schema)
+
+
+def peak_cosines(queries: DataFrame, spectra: DataFrame, *, ppm: float = 10.0, digits: int = 6, side: int | None = None) -> DataFrame:
+    """(q, o, cosine) of all queries (q, adduct, precursor_mz, p) and spectra (o, o_adduct, o_mz, o_p) of one adduct with m/z within the window, the cosine rounded.
+
+    Spectra of one adduct and near m/z are hashed to groups of about ``side`` (SIDE), the queries of the cell too; each group of one side meets
+    each of the other. Only the pairs that come out are ever rows.
+    """
+    side = side or SIDE
+    q = bounded(queries.where("adduct is not null"), "precursor_mz", ppm).withColumn("__cell", F.concat_ws("|", F.col("__cell").cast("string"), "adduct"))
+    s = spectra.where((F.col("o_mz") > 0) & ~F.isnan("o_mz") & F.col("o_adduct").isNotNull()).withColumn("__cell", F.concat_ws("|", cell(F.col("o_mz"), ppm).cast("string"), "o_adduct"))
+    count = lambda df, name: df.groupBy("__cell").agg(F.ceil(F.count("*") / side).alias(name))
+    sizes = cut(count(q.select("__cell"), "qs").join(count(s.select("__cell"), "os"), "__cell"))
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    group = F.concat_ws("|", "__cell", F.col("a").cast("string"), F.col("b").cast("string")).alias("g")
+    s = s.join(sizes, "__cell").withColumn("a", F.pmod(F.xxhash64("o"), F.col("os"))).withColumn("b", other("qs")).select(group, "o", F.col("o_mz").alias("mass"), F.col("o_p.mz").alias("o_mz"), F.col("o_p.i").alias("o_i"))
+    p = F.array_distinct("p")  # equal peaks of a query count once
+    q = q.withColumn("p", p).join(sizes, "__cell").withColumn("b", F.pmod(F.xxhash64("q"), F.col("qs"))).withColumn("a", other("os")).select(group, "q", F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("p.mz").alias("mz"), F.col("p.i").alias("i"))
+    return s.groupBy("g").cogroup(q.groupBy("g")).applyInArrow(lambda a, b: _pairs_group(a, b, digits), "q string, o string, cosine double")

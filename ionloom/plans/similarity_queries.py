@@ -14,10 +14,10 @@ from ionloom.functions.metadata import ADDUCTS
 from ionloom.functions.metadata import neutral_mass as neutral
 from ionloom.operators import ranking as R
 from ionloom.operators import stats
-from ionloom.operators.ppm import ppm_join, with_position
+from ionloom.operators.ppm import with_position
 from ionloom.operators.sampling import hash_order
 from ionloom.operators.units import energies_in_ev, energy_setting
-from ionloom.operators.windows import search_library
+from ionloom.operators.windows import peak_cosines, search_library
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL, PEAKS, UNIT, embeddings, structures, test_spectra, train_spectra
 from ionloom.plans.problems import energy_cte
 from ionloom.plans.registry import Registry
@@ -194,8 +194,10 @@ WITH {_SPECTRA_SQL}, pp AS (SELECT te.id AS q, sp.id AS o FROM te JOIN sp ON te.
 SELECT pp.q AS spectrum_id, pp.o AS library_id, round(coalesce(cosine, 0), 6) AS cosine FROM pp LEFT JOIN cs USING (q, o)""")
 def peak_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of every test spectrum with the training spectra of its adduct and precursor mass (10 ppm)."""
-    pairs = ppm_join(query_spectra(spark, folder), library_spectra(spark, folder), "precursor_mz", "o_mz", 10.0, same=("adduct", "o_adduct"))
-    return pairs.select(F.col("q").alias("spectrum_id"), F.col("o").alias("library_id"), F.round(S.peak_cosine(F.col("p"), F.col("o_p")), 6).alias("cosine"))
+    unit = S.unit_peaks(F.col("p"), F.col("precursor_mz"))
+    queries = test_spectra(spark, folder).where("p is not null").select(F.col("spectrum_id").alias("q"), "adduct", "precursor_mz", unit.alias("p"))
+    library = train_spectra(spark, folder).where("p is not null").select(F.concat(F.lit("t"), F.col("row_id").cast("string")).alias("o"), F.col("adduct").alias("o_adduct"), F.col("precursor_mz").alias("o_mz"), unit.alias("o_p"))
+    return peak_cosines(queries, library).select(F.col("q").alias("spectrum_id"), F.col("o").alias("library_id"), "cosine")
 
 
 def _search(spark: SparkSession, folder: str, rule: str) -> DataFrame:

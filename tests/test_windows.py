@@ -86,3 +86,16 @@ def test_mean_vectors(spark):
     rows = [("hot", [float(i), 1.0]) for i in range(500)] + [("b", [2.0, 4.0]), (None, [9.0, 9.0]), ("c", None)]
     got = {r.k: (r.n, r.v) for r in stats.mean_vectors(spark.createDataFrame(rows, "k string, u array<double>").repartition(5), "u", "k").collect()}
     assert got == {"hot": (500, [249.5, 1.0]), "b": (1, [2.0, 4.0])}
+
+
+@pytest.mark.parametrize("side", [1024, 2])
+def test_all_pairs_of_a_window(spark, side):
+    """Every pair of an adduct and window once, however many share them; equal peaks of a query count once."""
+    rng = np.random.default_rng(11)
+    spectra = [(f"o{i}", ["x", "y", None][i % 3], 250.0 * (1 + i % 5 * 4e-6), _spectrum(rng)) for i in range(30)] + [("none", "x", None, _spectrum(rng)), ("empty", "x", 250.0, [])]
+    queries = [(f"q{i}", ["x", "y", None][i % 3], 250.0, (p := _spectrum(rng)) + p[:1]) for i in range(9)] + [("nan", "x", float("nan"), _spectrum(rng))]
+    window = lambda m, x: x is not None and m - m * (10.0 * 1e-6) <= x <= m + m * (10.0 * 1e-6)
+    expected = {(q, o): _cosine(p, op) for q, a, m, p in queries for o, oa, x, op in spectra if a is not None and a == oa and window(m, x)}
+    peaks = "array<struct<mz:double,i:double>>"
+    got = W.peak_cosines(spark.createDataFrame(queries, f"q string, adduct string, precursor_mz double, p {peaks}"), spark.createDataFrame(spectra, f"o string, o_adduct string, o_mz double, o_p {peaks}"), side=side).collect()
+    assert len(got) == len(expected) and all(abs(r.cosine - expected[r.q, r.o]) <= 5.1e-7 for r in got)
