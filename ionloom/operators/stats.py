@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -236,3 +237,89 @@ def mean_vectors(df: DataFrame, vector: str, key: str) -> DataFrame:
 
     parts = rows.mapInArrow(partial, schema).repartition(key).sortWithinPartitions(key)
     return parts.mapInArrow(merged, schema.replace("__n", "n").replace("__s", "v"))
+
+
+def _summed(rows: dict) -> dict:
+    """One row for each key and half, in order of the keys' first rows."""
+    keys = rows["key"].dictionary_encode()
+    code = keys.indices.to_numpy().astype(np.int64) * 2 + rows["h"]
+    order = np.argsort(code, kind="stable")
+    found, start = np.unique(code[order], return_index=True)
+    sums = {c: np.add.reduceat(rows[c][order], start, axis=0) for c in ("n", "m", "known", "s")}
+    return {"key": keys.dictionary.take(pa.array(found // 2)), "h": found % 2, **sums}
+
+
+def _some_lists(x: np.ndarray, at: np.ndarray, n: int) -> pa.ListArray:
+    """``n`` lists: row i of ``x`` at place at[i], NULL elsewhere."""
+    size = np.zeros(n, dtype=np.int32)
+    size[at] = x.shape[1]
+    missing = np.ones(n, dtype=bool)
+    missing[at] = False
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(x.ravel()), mask=pa.array(missing))
+
+
+def bits_and_means(df: DataFrame, value) -> DataFrame:
+    """(key, bits, n, m, p), a row a key: the signs of the mean unit vector of its rows of half 0 (1 above 0), and of those of half 1 their number, the mean of ``m`` and of ``value`` of the unit vectors.
+
+    ``df`` (key, h, m, e): key, half (0 or 1), number and vector; rows without key, half or length count nowhere, nor does a vector that lacks an entry.
+    ``value`` maps an array of unit vectors to one of that shape. Both halves take one pass: rows are added up in Arrow batches before the shuffle and, in order of the key, after it.
+    """
+    rows = df.where(F.size("e") > 0).select("key", F.col("h").cast("int").alias("h"), F.col("m").cast("double").alias("m"), "e")
+    kind = dict(rows.dtypes)["key"]
+    schema = f"key {kind}, h int, n bigint, m double, known bigint, s array<double>"
+    columns = ("key", "h", "n", "m", "known")
+
+    def partial(batches):
+        for b in batches:
+            # here and not in a filter, which Spark would push below a join and evaluate on more rows
+            b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
+            e = b.column(3).flatten()
+            x = np.asarray(e.to_numpy(zero_copy_only=False), dtype=float)
+            if not len(x):
+                continue
+            x = x.reshape(b.num_rows, -1)
+            length = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+            live = ~(length <= 0)
+            if e.null_count:
+                live &= ~np.asarray(e.is_null().to_numpy(zero_copy_only=False)).reshape(x.shape).any(axis=1)
+            x, b = x[live] / length[live, None], b.filter(pa.array(live))
+            if not len(x):
+                continue
+            h, m = b.column(1).to_numpy(), b.column(2)
+            x[h == 1] = value(x[h == 1])
+            got = _summed({"key": b.column(0), "h": h, "n": np.ones(len(x), dtype=np.int64), "m": m.fill_null(0.0).to_numpy(), "known": np.asarray(m.is_valid().to_numpy(zero_copy_only=False), dtype=np.int64), "s": x})
+            yield pa.RecordBatch.from_arrays([got["key"], pa.array(got["h"], pa.int32()), *[pa.array(got[c]) for c in columns[2:]], _lists(got["s"])], names=[*columns, "s"])
+
+    def out(rows: dict) -> pa.RecordBatch:
+        keys = rows["key"].dictionary_encode()
+        at, n = keys.indices.to_numpy(), len(keys.dictionary)
+        mean = rows["s"] / rows["n"][:, None]
+        zero, one = rows["h"] == 0, rows["h"] == 1
+        count, m = np.zeros(n, dtype=np.int64), np.full(n, np.nan)
+        count[at[one]] = rows["n"][one]
+        known = one & (rows["known"] > 0)
+        m[at[known]] = rows["m"][known] / rows["known"][known]
+        unknown = np.ones(n, dtype=bool)
+        unknown[at[known]] = False
+        bits = (~(mean[zero] <= 0)).astype(np.int8)
+        return pa.RecordBatch.from_arrays([keys.dictionary, _some_lists(bits, at[zero], n), pa.array(count, mask=count == 0), pa.array(m, mask=unknown), _some_lists(mean[one], at[one], n)], names=["key", "bits", "n", "m", "p"])
+
+    def merged(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = b.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            rows = {"key": b.column(0), **{c: b.column(i).to_numpy() for i, c in enumerate(columns) if i}, "s": s}
+            if held is not None:
+                rows = {c: pa.concat_arrays([held[c], rows[c]]) if c == "key" else np.concatenate([held[c], rows[c]]) for c in rows}
+            rows = _summed(rows)
+            done = len(rows["h"]) - (2 if len(rows["h"]) > 1 and rows["key"][-2] == rows["key"][-1] else 1)  # the last key may go on
+            if done:
+                yield out({c: v[:done] for c, v in rows.items()})
+            held = {c: v[done:] for c, v in rows.items()}
+        if held is not None:
+            yield out(held)
+
+    parts = rows.mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key")
+    return parts.mapInArrow(merged, f"key {kind}, bits array<tinyint>, n bigint, m double, p array<double>")

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +187,8 @@ def search_library(masses: DataFrame, queries: DataFrame, found: DataFrame, spec
 
 #: Library keys of a group of a ranking, and queries that it scores at once.
 KEYS, AT_ONCE = 8192, 256
+#: Keys that the windows of a block may take together, however narrow each is; near scores a query from which equal bits are looked for; near scores that are added up in order at once.
+LEAST_SPAN, TIES, EXACT = 256, 4, 16_384
 #: Scores nearer than this are compared after they are rounded; far above what the order of a sum changes.
 NEAR = 1e-7
 
@@ -209,25 +212,46 @@ def _in_order(x: np.ndarray) -> np.ndarray:
     return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
 
 
+def _blocks(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Queries in order of ``first`` in blocks of AT_ONCE at most whose windows together take little more than the widest: what lies outside a window is scored in vain."""
+    out, at = [], 0
+    while at < len(first):
+        end = last[at : at + AT_ONCE]
+        span = np.maximum.accumulate(end) - first[at]
+        widest = np.maximum.accumulate(end - first[at : at + AT_ONCE])
+        out.append((at, at := at + max(1, int(np.argmax(np.append(span > np.maximum(LEAST_SPAN, 1.5 * widest), True))))))
+    return out
+
+
+def _patterns(rows: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal rows."""
+    if not rows.shape[1]:
+        return np.zeros(len(rows), dtype=np.int64)
+    return np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel(), return_inverse=True)[1].ravel()
+
+
 def _rank_group(library: pa.Table, asked: pa.Table, scorers: tuple[str, ...]) -> pa.Table:
     """(query, n, before_<scorer>): the keys in each query's window, and those that come before the true one; NULL if that isn't a candidate."""
     schema = pa.schema([("query", pa.string()), ("n", pa.int64())] + [(f"before_{s}", pa.int64()) for s in scorers])
     if not library.num_rows or not asked.num_rows:
         return schema.empty_table()
     library = library.sort_by("mass")
-    matrix = lambda c: np.asarray(c.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(c), -1)
+    plain = lambda c: c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+    matrix = lambda c: np.asarray(plain(c), dtype=float)
     mass, bits, p = library.column("mass").to_numpy(), matrix(_one(library.column("bits"))), matrix(_one(asked.column("p")))
     low, high, true_mass = (asked.column(c).to_numpy() for c in ("low", "high", "true_mass"))
-    keys = np.array(library.column("key").to_pylist(), dtype=object)
     first, last = np.searchsorted(mass, low, "left"), np.searchsorted(mass, high, "right")
     here = (true_mass >= low) & (true_mass <= high)
     set_bits = _in_order(bits)
     before = {s: np.zeros(len(p), dtype=np.int64) for s in scorers}
     todo = np.flatnonzero(here & (last > first))
     todo = todo[np.argsort(first[todo], kind="stable")]
-    true_bits, true_key = _one(asked.column("true_bits")), asked.column("true_key").to_pylist()
-    for at in range(0, len(todo), AT_ONCE):
-        q = todo[at : at + AT_ONCE]
+    true_bits = _one(asked.column("true_bits"))
+    place = pc.rank(pa.concat_arrays([*library.column("key").chunks, *asked.column("true_key").cast(library.column("key").type).chunks]), tiebreaker="dense").to_numpy()
+    place, true_place = place[: len(mass)], place[len(mass) :]
+    patterns = None
+    for start, end in _blocks(first[todo], last[todo]):
+        q = todo[start:end]
         a, b = first[q].min(), last[q].max()
         inside = (np.arange(a, b) >= first[q][:, None]) & (np.arange(a, b) < last[q][:, None])
         t = matrix(true_bits.take(pa.array(q)))
@@ -242,10 +266,16 @@ def _rank_group(library: pa.Table, asked: pa.Table, scorers: tuple[str, ...]) ->
             gap = score - truth[:, None]
             better = inside & (gap > NEAR)
             i, k = np.nonzero(inside & (np.abs(gap) <= NEAR))
+            if len(i) > TIES * len(q):  # equal bits are scored once a query
+                patterns = _patterns(plain(_one(library.column("bits")))) if patterns is None else patterns
+                _, one, again = np.unique(i * len(mass) + patterns[a + k], return_index=True, return_inverse=True)
+            else:
+                one, again = slice(None), slice(None)
             if len(i):
-                now, then = exact(i, k), rounded(truth)[i]
-                smaller = np.array([keys[a + y] < true_key[q[x]] for x, y in zip(i, k)], dtype=bool)
-                better[i, k] = (now > then) | ((now == then) & smaller)
+                i1, k1 = i[one], k[one]
+                now = np.concatenate([exact(i1[n : n + EXACT], k1[n : n + EXACT]) for n in range(0, len(i1), EXACT)])[again]
+                then = rounded(truth)[i]
+                better[i, k] = (now > then) | ((now == then) & (place[a + k] < true_place[q[i]]))
             before[s][q] = better.sum(axis=1)
     return pa.table([asked.column("query").combine_chunks().cast(pa.string()), pa.array(last - first), *[pa.array(before[s], mask=~here) for s in scorers]], schema=schema)
 
@@ -259,14 +289,19 @@ def rank_truth(queries: DataFrame, library: DataFrame, scorers: tuple[str, ...],
     Keys lie in groups of about ``limit`` (KEYS) near masses. A query is sent, with the bits of its true key, to the groups
     that its window touches; these count what comes before the truth, and the counts are added up.
     """
+    truth = library.where((F.col("mass") > 0) & ~F.isnan("mass")).select(F.col("key").alias("true_key"), F.col("mass").alias("true_mass"), F.col("bits").alias("true_bits"))
+    return rank_known(queries.select("query", "true_key", "mass_q", "p").join(truth, "true_key", "left"), library, scorers, ppm=ppm, limit=limit)
+
+
+def rank_known(queries: DataFrame, library: DataFrame, scorers: tuple[str, ...], *, ppm: float = 10.0, limit: int | None = None) -> DataFrame:
+    """As :func:`rank_truth`, of ``queries`` that have true_mass and true_bits already, NULL where the library lacks the true key."""
     limit = limit or KEYS
     library = library.where((F.col("mass") > 0) & ~F.isnan("mass"))
     home = library.withColumn("__cell", cell(F.col("mass"), ppm))
     sizes = home.groupBy("__cell").agg(F.ceil(F.count("*") / limit).alias("groups"))
     group = lambda part: F.concat_ws("|", F.col("__cell").cast("string"), part.cast("string")).alias("g")
     home = home.join(sizes, "__cell").select(group(F.pmod(F.xxhash64("key"), F.col("groups"))), "key", "mass", "bits")
-    truth = library.select(F.col("key").alias("true_key"), F.col("mass").alias("true_mass"), F.col("bits").alias("true_bits"))
-    asked = bounded(queries.select("query", "true_key", "mass_q", "p").join(truth, "true_key", "left"), "mass_q", ppm).join(sizes, "__cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asked = bounded(queries, "mass_q", ppm).join(sizes, "__cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     asked = asked.select(group(F.col("part")), "query", "true_key", "true_mass", "true_bits", F.col("__low").alias("low"), F.col("__high").alias("high"), "p")
     counted = home.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(lambda a, b: _rank_group(a, b, scorers), "query string, n bigint, " + ", ".join(f"before_{s} bigint" for s in scorers))
     summed = counted.groupBy("query").agg(F.sum("n").alias("n_candidates"), *[(F.sum(f"before_{s}") + 1).alias(f"rank_{s}") for s in scorers])

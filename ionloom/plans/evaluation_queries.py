@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ionloom.operators.dedupe import keep_first, lookup_or_fail
 from ionloom.operators.ppm import adaptive_window, with_position
 from ionloom.operators.search import best_relatives, nearest_exact, neighbour_recall
 from ionloom.operators.skew import salted_join
-from ionloom.operators.windows import rank_truth
+from ionloom.operators.windows import rank_known
 from ionloom.plans.common import ADDUCT_VALUES, CLEAN_KEY, EMBEDDINGS, NEUTRAL, embeddings, structures, train_spectra
 from ionloom.plans.library_queries import _BEST, _TRUTH, ranked_candidates, true_keys
 from ionloom.plans.problems import energy_cte
@@ -64,29 +65,33 @@ def _ranks_sql(p: str, scorers: tuple[str, ...]) -> str:
 
 def _ranked(spark: SparkSession, folder: str, value, scorers: tuple[str, ...]) -> DataFrame:
     """Spectra of one half of the hash are the queries, a molecule's together; the bits of a structure are the signs of the other half's mean vector."""
-    k = keyed_embeddings(spark, folder).where("key is not null").withColumn("h", F.conv(F.substring(P.hash_order(0, F.col("row_id")), 1, 1), 16, 10).cast("int") % 2)
-    bits = stats.mean_vectors(k.where("h = 0"), "u", "key").select("key", F.transform("v", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("bits"))
-    masses = structures(spark, folder).where("key is not null and mass is not null").groupBy("key").agg(F.min("mass").alias("mass"))
+    e = keep_first(load(spark, folder, "spectrum_embeddings").where("embedding is not null").select("row_id", F.col("embedding").alias("e")), ["row_id"], "e")
+    # keys are cleaned behind the join, on the rows that have a vector
+    t = load(spark, folder, "train", "row_id", "inchikey14", "adduct", "precursor_mz")
+    half = F.conv(F.substring(P.hash_order(0, F.col("row_id")), 1, 1), 16, 10).cast("int") % 2
     # the mass is averaged with the vector, over the spectra that have one
     m = M.neutral_mass(F.col("precursor_mz"), F.col("adduct"))
-    asked = k.where((F.col("h") == 1) & F.col("adduct").isin(*M.ADDUCTS)).select("key", F.concat(value(F.col("u")), F.array(F.coalesce(m, F.lit(0.0)), m.isNotNull().cast("double"))).alias("x"))
-    x = F.col("v")
-    queries = stats.mean_vectors(asked, "x", "key").select(F.col("key").alias("query"), F.col("key").alias("true_key"), F.try_divide(x[F.size(x) - 2], x[F.size(x) - 1]).alias("mass_q"), F.slice(x, 1, F.size(x) - 2).alias("p"), F.col("n").alias("n_spectra"))
-    queries = cut(queries)
-    ranks = queries.drop("p", "true_key").join(rank_truth(queries, cut(bits.join(masses, "key")), scorers), "query", "left")
-    return ranks.select("query", "n_spectra", F.round("mass_q", 5).alias("neutral_mass"), *[f"rank_{s}" for s in scorers], F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
+    k = e.join(t, "row_id").select(clean_key(F.col("inchikey14")).alias("key"), F.when(half == 0, 0).when(F.col("adduct").isin(*M.ADDUCTS), 1).alias("h"), m.alias("m"), "e")
+    masses = structures(spark, folder).where("key is not null and mass is not null").groupBy("key").agg(F.min("mass").alias("mass"))
+    known = cut(stats.bits_and_means(k, value).join(masses, "key", "left"))
+    there = F.col("bits").isNotNull()
+    asked = known.where("p is not null").select(F.col("key").alias("query"), F.col("key").alias("true_key"), F.when(there, F.col("mass")).alias("true_mass"), F.col("bits").alias("true_bits"), F.col("m").alias("mass_q"), "p")
+    ranks = rank_known(asked, known.where(there & F.col("mass").isNotNull()).select("key", "mass", "bits"), scorers)
+    mass = F.round(F.col("m") * 1e5) / 1e5  # halves as the SQL rounds them, by the product
+    queries = known.where("p is not null").select(F.col("key").alias("query"), F.col("n").alias("n_spectra"), mass.alias("neutral_mass"))
+    return queries.join(ranks, "query", "left").select("query", "n_spectra", "neutral_mass", *[f"rank_{s}" for s in scorers], F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
 @registry.query(_ranks_sql("1.0 / (1.0 + exp(-8.0 * u[d]))", tuple(V.SCORERS)))
 def rank_queries(spark: SparkSession, folder: str) -> DataFrame:
     """Mean probabilities of each query molecule, the library in its mass window, the rank of the truth by every scorer."""
-    return _ranked(spark, folder, lambda u: V.sigmoid(u, 8.0), tuple(V.SCORERS))
+    return _ranked(spark, folder, lambda u: 1.0 / (1.0 + np.exp(-8.0 * u)), tuple(V.SCORERS))
 
 
 @registry.query(_ranks_sql("8.0 * u[d]", ("dot", "dot_over_root")))
 def rank_by_logits(spark: SparkSession, folder: str) -> DataFrame:
     """The same by another model's logits: they may be negative, so only the linear scorers apply."""
-    return _ranked(spark, folder, lambda u: F.transform(u, lambda x: 8.0 * x), ("dot", "dot_over_root"))
+    return _ranked(spark, folder, lambda u: 8.0 * u, ("dot", "dot_over_root"))
 
 
 @registry.query(f"""

@@ -80,6 +80,59 @@ def test_rank_truth(spark, limit):
     assert len(expected) == 6 and {tuple(r) for r in W.rank_truth(q, lib, tuple(SCORERS), limit=limit).select(*columns).collect()} == expected
 
 
+def test_equal_bits_are_scored_once(monkeypatch):
+    """A window full of equal bits costs a query one sum in order for each pattern, not one for each key; the ranks are those of a full ranking."""
+    rng = np.random.default_rng(2)
+    patterns = np.array([[1, 0, 1, 1], [0, 1, 1, 0], [1, 1, 0, 0]], dtype=np.int8)
+    of = [i % 3 if i < 30 else 0 for i in range(400)]
+    keys, p = [f"k{i:03d}" for i in rng.permutation(400)], rng.random((60, 4))
+    lists = lambda x: pa.array([list(r) for r in x], pa.list_(pa.from_numpy_dtype(np.asarray(x).dtype)))
+    library = pa.table({"key": keys, "mass": [200.0 + i * 1e-7 for i in range(400)], "bits": lists(patterns[of])})
+    true = rng.integers(0, 400, 60)
+    asked = pa.table({"query": [f"q{i}" for i in range(60)], "true_key": [keys[i] for i in true], "true_mass": [200.0] * 60, "true_bits": lists(patterns[[of[i] for i in true]]), "low": [199.0] * 60, "high": [201.0] * 60, "p": lists(p)})
+    summed, plain = [], W._in_order
+    monkeypatch.setattr(W, "_in_order", lambda x: summed.append(len(x)) or plain(x))
+    got = W._rank_group(library, asked, ("dot",)).column("before_dot").to_pylist()
+    for i, t in enumerate(true):
+        ranked = sorted((-float(W.rounded(p[i] @ patterns[o])), k) for o, k in zip(of, keys))
+        assert got[i] == [k for _, k in ranked].index(keys[t])
+    assert sum(summed) <= 400 + 5 * 60 + 60 * len(patterns)
+
+
+def test_blocks():
+    first = np.array([0, 0, 1, 300, 301, 5000, *range(6000, 6600)])
+    last = first + np.array([10, 400, 3, 50, 50, 2000, *[5] * 600])
+    blocks = W._blocks(first, last)
+    assert [b[0] for b in blocks] == [0, *[b[1] for b in blocks[:-1]]] and blocks[-1][1] == len(first)
+    for a, b in blocks:
+        assert b - a <= W.AT_ONCE and last[a:b].max() - first[a] <= max(W.LEAST_SPAN, 1.5 * (last - first)[a:b].max())
+
+
+@pytest.mark.parametrize("batch", [10_000, 3])
+def test_bits_and_means(spark, batch):
+    """Both halves in one pass, keys over many batches, rows that count nowhere, and means of m without the unknown ones."""
+    from ionloom.operators import stats
+
+    rng = np.random.default_rng(4)
+    rows = [(str(rng.choice(["hot", "hot", "hot", "b", "c"])), int(rng.integers(0, 2)), float(rng.integers(1, 9)) if i % 4 else None, [float(x) for x in rng.normal(size=3)]) for i in range(90)]
+    rows += [("only0", 0, 1.0, [3.0, 0.0, -4.0]), ("only1", 1, None, [3.0, 0.0, -4.0])]
+    none = [(None, 0, 1.0, [1.0] * 3), ("b", None, 1.0, [1.0] * 3), ("b", 1, 1.0, [0.0] * 3), ("b", 1, 1.0, []), ("b", 0, 1.0, None), ("b", 1, 1.0, [1.0, None, 1.0]), ("gone", 1, 1.0, [0.0] * 3)]
+    df = spark.createDataFrame(rows + none, "key string, h int, m double, e array<float>").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {r.key: r for r in stats.bits_and_means(df, lambda u: 8.0 * u).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == {"hot", "b", "c", "only0", "only1"}
+    for k, r in got.items():
+        unit = {h: [np.array(e, np.float32).astype(float) / np.sqrt(np.sum(np.array(e, np.float32).astype(float) ** 2)) for x, y, _, e in rows if x == k and y == h] for h in (0, 1)}
+        m = [x[2] for x in rows if x[0] == k and x[1] == 1 and x[2] is not None]
+        assert r.bits == ([int(x > 0) for x in np.mean(unit[0], axis=0)] if unit[0] else None)
+        assert r.n == (len(unit[1]) or None) and (r.m is None if not m else math.isclose(r.m, np.mean(m)))
+        assert r.p is None if not unit[1] else np.allclose(r.p, 8.0 * np.mean(unit[1], axis=0), atol=1e-12)
+
+
 def test_mean_vectors(spark):
     from ionloom.operators import stats
 
